@@ -1,0 +1,26 @@
+"""Queries over the archive: activity, reads, search and SQL features."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.operators.upsert import deduplicate
+from quern.session import table
+
+
+def canonical_role(role):
+    """system, user, assistant or tool, whatever spelling the client used; NULL for anything else."""
+    from quern.functions.text import id_key
+
+    r = id_key(role)
+    return F.when(r.isin("system", "developer"), "system").when(r.isin("user", "human"), "user").when(r.isin("assistant", "ai", "model"), "assistant").when(r.isin("tool", "function", "toolresult"), "tool")
+
+
+def role_activity(spark: SparkSession, sf: str) -> DataFrame:
+    m = deduplicate(table(spark, sf, "messages"))
+    return m.groupBy(canonical_role("role").alias("role")).agg(F.count("*").alias("n"), F.countDistinct("session_id").alias("sessions"))
+
+
+QUERIES = {f.__name__: f for f in (role_activity,)}
+ORACLES: dict[str, str] = {}
