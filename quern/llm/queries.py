@@ -4,10 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import pii, secrets
+from quern.llm import conversations, pii, secrets
 from quern.session import table
 
 
+def _archive(spark: SparkSession, sf: str) -> list[DataFrame]:
+    return [table(spark, sf, t) for t in ("messages", "parts", "sessions", "hosts")]
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return conversations.dropped(*_archive(spark, sf))
+
+
+def p2_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    return conversations.rebuilt(*_archive(spark, sf))
+
+
+def p2_fragments(spark: SparkSession, sf: str) -> DataFrame:
+    messages, _, _, hosts = _archive(spark, sf)
+    deliveries = conversations.timed(messages, hosts)
+    return conversations.overlaps(deliveries, conversations.survivors(deliveries))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.find(table(spark, sf, "parts"))
 
@@ -24,5 +42,5 @@ def p6_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return pii.redact(table(spark, sf, "parts"), table(spark, sf, "messages"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_redacted, p6_found, p6_redacted)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p2_fragments, p4_found, p4_redacted, p6_found, p6_redacted)}
 ORACLES: dict[str, str] = {}
