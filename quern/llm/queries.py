@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import conversations, pii, secrets
-from quern.session import table
+from quern.llm import conversations, mixing, packing, pii, secrets, subjects
+from quern.session import cut, table
 
 
 def _archive(spark: SparkSession, sf: str) -> list[DataFrame]:
@@ -42,5 +42,34 @@ def p6_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return pii.redact(table(spark, sf, "parts"), table(spark, sf, "messages"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p2_fragments, p4_found, p4_redacted, p6_found, p6_redacted)}
+def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_jobs(table(spark, sf, "documents"), table(spark, sf, "packing_jobs"))
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.fill_report(p8_packed(spark, sf), table(spark, sf, "packing_jobs"))
+
+
+def p9_drawn(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.draw(mixing.membership(table(spark, sf, "documents")), table(spark, sf, "mix_targets")).select("mix_name", "doc_id", "source", "n_tokens", "copies")
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    members, targets = mixing.membership(table(spark, sf, "documents")), table(spark, sf, "mix_targets")
+    return mixing.report(cut(mixing.draw(members, targets), "drawn"), members, targets)
+
+
+def _subject_tables(spark: SparkSession, sf: str) -> list[DataFrame]:
+    return [table(spark, sf, t) for t in ("documents", "doc_labels", "subjects")]
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return subjects.found(*_subject_tables(spark, sf))
+
+
+def p10_composition(spark: SparkSession, sf: str) -> DataFrame:
+    return subjects.composition(*_subject_tables(spark, sf))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p2_fragments, p4_found, p4_redacted, p6_found, p6_redacted, p8_packed, p8_fill, p9_drawn, p9_shares, p10_found, p10_composition)}
 ORACLES: dict[str, str] = {}

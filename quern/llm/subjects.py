@@ -33,10 +33,14 @@ from pyspark.sql import functions as F
 from quern.session import cut
 
 FEATURES = 1 << 16
-PASSES = 4
+#: Groups of documents by language: words are weighed against what chance gives in their own language.
+LANGUAGES = 16
+PASSES = 2
 SAMPLE = 50_000
-SHRINK = 1.0
-NONE = 2.5
+SHRINK, FLOOR = 1.0, 0.03
+NONE = 4.0
+#: Occurrences in labelled text from which a word counts as known, and what it must then speak for a subject.
+SUPPORT, TELLING = 5, 0.7
 
 _HEAD = re.compile(r"^\s*(?:#+[^\n]*|(?:>+|[-*+•]|\d+[.)]|\|)\s*)", re.M)
 _SPEAKER = re.compile(r"^\s*(?:\[[^\]\n]{1,24}\]|[A-Za-z]{2,16}:)\s*", re.M)
@@ -70,15 +74,16 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     f = known[s] = features(s)
                 rows.append(f)
             docs.append(rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(docs, pa.list_(pa.list_(pa.int32()))), batch.column(2)], names=["doc_id", "sentences", "labels"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(docs, pa.list_(pa.list_(pa.int32()))), batch.column(2), batch.column(3)], names=["doc_id", "sentences", "labels", "tongue"])
 
 
 def prepare(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> DataFrame:
-    """(doc_id, sentences array<array<int>>, labels array<int>); labels NULL where a document is not labelled."""
+    """(doc_id, sentences array<array<int>>, labels array<int>, tongue int); labels NULL where a document is not labelled."""
+    tongue = F.pmod(F.xxhash64(F.lower(F.substring(F.coalesce("lang", F.lit("")), 1, 2))), F.lit(LANGUAGES)).cast("int")
     number = F.create_map(*[x for i, s in enumerate(subjects) for x in (F.lit(s), F.lit(i))])
     own = labels.where(F.col("subject").isin(subjects)).groupBy("doc_id").agg(F.sort_array(F.collect_set(number[F.col("subject")])).alias("labels"))
-    rows = documents.where("text is not null and doc_id is not null").select("doc_id", "text").join(own, "doc_id", "left")
-    return cut(rows.mapInArrow(_tokenise, "doc_id bigint, sentences array<array<int>>, labels array<int>"), "sentences")
+    rows = documents.where("text is not null and doc_id is not null").select("doc_id", "text", tongue.alias("tongue")).join(own, "doc_id", "left").select("doc_id", "text", "labels", "tongue")
+    return cut(rows.mapInArrow(_tokenise, "doc_id bigint, sentences array<array<int>>, labels array<int>, tongue int"), "sentences")
 
 
 class _Batch:
@@ -95,6 +100,8 @@ class _Batch:
         self.feature_sentence = np.repeat(np.arange(len(per_sentence)), per_sentence)
         self.sizes = per_doc
         self.labels = batch.column(2).to_pylist()
+        self.tongue = batch.column(3).to_numpy(zero_copy_only=False)
+        self.feature_doc = self.sentence_doc[self.feature_sentence]
 
     def sums(self, values: np.ndarray, index: np.ndarray, n: int) -> np.ndarray:
         out = np.zeros((n, values.shape[1]))
@@ -124,74 +131,95 @@ class _Batch:
         return post
 
 
-def _emit(sums: np.ndarray, classes: int) -> pa.RecordBatch:
-    rows = np.flatnonzero(sums.sum(axis=1) > 1e-9)
-    return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *[pa.array(sums[rows, c]) for c in range(classes)]], names=["feature", *[f"c{c}" for c in range(classes)]])
+class _Sums:
+    """Counts of one task: per feature the classes and languages, and per language the classes."""
 
+    def __init__(self, classes: int):
+        self.classes = classes
+        self.table = np.zeros((FEATURES + LANGUAGES, classes + LANGUAGES))
 
-def _collect(parts: DataFrame, classes: int) -> np.ndarray:
-    """Sums per feature from all tasks: at most FEATURES rows come to the driver."""
-    total = parts.groupBy("feature").agg(*[F.sum(f"c{c}").alias(f"c{c}") for c in range(classes)]).toArrow()
-    out = np.zeros((FEATURES, classes))
+    def add(self, b: _Batch, weights: np.ndarray) -> None:
+        """``weights``: what each class gets of each feature occurrence."""
+        tongue = b.tongue[b.feature_doc]
+        for c in range(self.classes):
+            self.table[:FEATURES, c] += np.bincount(b.features, weights[:, c], FEATURES)
+            self.table[FEATURES:, c] += np.bincount(tongue, weights[:, c], LANGUAGES)
+        total = weights.sum(axis=1)
+        for t in np.unique(tongue):
+            at = tongue == t
+            self.table[:FEATURES, self.classes + t] += np.bincount(b.features[at], total[at], FEATURES)
+
+    def emit(self) -> pa.RecordBatch:
+        rows = np.flatnonzero(self.table.sum(axis=1) > 1e-9)
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *[pa.array(self.table[rows, c]) for c in range(self.table.shape[1])]], names=["feature", *[f"c{c}" for c in range(self.table.shape[1])]])
+
+
+def _collect(parts: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts per feature and class, and what chance would give: at most FEATURES + LANGUAGES rows come to the driver."""
+    width = classes + LANGUAGES
+    total = parts.groupBy("feature").agg(*[F.sum(f"c{c}").alias(f"c{c}") for c in range(width)]).toArrow()
+    out = np.zeros((FEATURES + LANGUAGES, width))
     if total.num_rows:
-        out[total.column("feature").to_numpy()] = np.stack([total.column(f"c{c}").to_numpy() for c in range(classes)], axis=1)
-    return out
+        out[total.column("feature").to_numpy()] = np.stack([total.column(f"c{c}").to_numpy() for c in range(width)], axis=1)
+    counts, spoken, rates = out[:FEATURES, :classes], out[:FEATURES, classes:], out[FEATURES:, :classes]
+    overall = rates.sum(axis=0) / max(rates.sum(), 1e-9)
+    rates = (rates + 50 * overall) / (rates.sum(axis=1, keepdims=True) + 50)
+    chance = np.where(spoken.sum(axis=1, keepdims=True) > 0, spoken @ rates / np.maximum(spoken.sum(axis=1, keepdims=True), 1e-9), overall)
+    return counts, np.clip(chance, FLOOR, 1 - FLOOR)
 
 
-def log_ratios(counts: np.ndarray) -> np.ndarray:
+def log_ratios(counts: np.ndarray, chance: np.ndarray) -> np.ndarray:
     """Log of what a class has of each feature against what chance would give it.
 
-    ``SHRINK`` imagined occurrences at the class's own rate keep rare words from proving much.
+    ``SHRINK`` imagined occurrences at the rate of chance keep rare words from proving much.
     """
-    rate = counts.sum(axis=0) / max(counts.sum(), 1e-9) + 1e-9
-    return np.log((counts + SHRINK * rate) / ((counts.sum(axis=1, keepdims=True) + SHRINK) * rate))
+    return np.log((counts + SHRINK * chance) / ((counts.sum(axis=1, keepdims=True) + SHRINK) * chance))
 
 
-def complement_weights(counts: np.ndarray) -> np.ndarray:
+def complement_weights(counts: np.ndarray, chance: np.ndarray) -> np.ndarray:
     """Complement naive Bayes: a class's features against those of all labelled text that is not in it."""
-    everything, rate = counts.sum(axis=1, keepdims=True), counts.sum(axis=0) / max(counts.sum(), 1e-9) + 1e-9
-    rest = everything - counts
-    return np.log((counts + SHRINK * rate) / rate) - np.log((rest + SHRINK * (1 - rate)) / (1 - rate))
+    rest = counts.sum(axis=1, keepdims=True) - counts
+    return np.log((counts + SHRINK * chance) / chance) - np.log((rest + SHRINK * (1 - chance)) / (1 - chance))
 
 
 def fit(prepared: DataFrame, n_subjects: int, passes: int = PASSES) -> np.ndarray:
     """Feature weights of all classes, the last being none of the subjects."""
     classes = n_subjects + 1
-    schema = "feature int, " + ", ".join(f"c{c} double" for c in range(classes))
+    schema = "feature int, " + ", ".join(f"c{c} double" for c in range(classes + LANGUAGES))
+    narrow = "feature int, " + ", ".join(f"c{c} double" for c in range(n_subjects + LANGUAGES))
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((FEATURES, classes))
+        sums = _Sums(n_subjects)
         for batch in batches:
             b = _Batch(batch)
-            doc = b.sentence_doc[b.feature_sentence]
-            for d, own in enumerate(b.labels):
-                if own:
-                    for f in b.features[doc == d]:
-                        sums[f, own] += 1 / len(own)
-            np.add.at(sums[:, -1], b.features, 1)
-        yield _emit(sums, classes)
-
-    first = _collect(prepared.mapInArrow(labelled, schema), classes)
+            own = np.zeros((b.n, n_subjects))
+            for d, labels in enumerate(b.labels):
+                if labels:
+                    own[d, labels] = 1 / len(labels)
+            sums.add(b, own[b.feature_doc])
+        yield sums.emit()
+
     weights = np.zeros((FEATURES, classes), np.float32)
-    weights[:, :-1] = complement_weights(first[:, :-1])
+    counts, chance = _collect(prepared.where("labels is not null").mapInArrow(labelled, narrow), n_subjects)
+    weights[:, :-1] = complement_weights(counts, chance)
+    # Words well known from labelled documents can only speak for subjects they speak for there;
+    # this keeps a class from drifting onto phrases that every document uses.
+    barred = (counts.sum(axis=1, keepdims=True) >= SUPPORT) & (weights[:, :-1] < TELLING)
     # So far nothing is known of the last class: a sentence belongs to it unless its words tell more than NONE.
     bias = NONE
     spark = prepared.sparkSession.sparkContext
     for _ in range(passes):
-        start = bias
         shared = spark.broadcast(weights)
 
-        def maximise(batches: Iterator[pa.RecordBatch], shared=shared, bias=start) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros((FEATURES, classes))
+        def maximise(batches: Iterator[pa.RecordBatch], shared=shared, bias=bias) -> Iterator[pa.RecordBatch]:
+            sums = _Sums(classes)
             for batch in batches:
                 b = _Batch(batch)
-                post = b.expectation(shared.value, bias)
-                for c in range(classes):
-                    sums[:, c] += np.bincount(b.features, post[b.feature_sentence, c], FEATURES)
-            yield _emit(sums, classes)
+                sums.add(b, b.expectation(shared.value, bias)[b.feature_sentence])
+            yield sums.emit()
 
-        sums = _collect(prepared.mapInArrow(maximise, schema), classes)
-        weights, bias = log_ratios(sums).astype(np.float32), 0.0
+        weights, bias = log_ratios(*_collect(prepared.mapInArrow(maximise, schema), classes)).astype(np.float32), 0.0
+        weights[:, :-1][barred] = np.minimum(weights[:, :-1][barred], 0)
         shared.unpersist()
     return weights
 
@@ -214,21 +242,29 @@ def shares(prepared: DataFrame, weights: np.ndarray, use_labels: bool = False) -
 
 
 def calibrate(scored: DataFrame, sample: int = SAMPLE) -> tuple[float, float]:
-    """Slope and offset of the logistic curve from share to posterior, on at most ``sample`` labelled documents."""
+    """Slope and offset of the logistic curve from share to posterior, on at most ``sample`` labelled documents.
+
+    The curve crosses one half at the share that tells labels from the rest best (by F1), as a
+    plain logistic fit would be pulled away by the many pairs far from the boundary; its slope
+    is the one of largest likelihood.
+    """
     rows = scored.where("labels is not null").orderBy(F.xxhash64("doc_id")).limit(sample).select("labels", "shares").toArrow().to_pylist()
-    if not rows:
-        return 60.0, -10.0
-    x = np.array([s for r in rows for s in r["shares"]])
-    y = np.array([float(i in r["labels"]) for r in rows for i in range(len(r["shares"]))])
-    a, b = 60.0, -8.0
-    for _ in range(200):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
-        g = np.array([((p - y) * x).mean() + 1e-6 * (a - 60), (p - y).mean()])
-        w = p * (1 - p) + 1e-9
-        h = np.array([[(w * x * x).mean() + 1e-6, (w * x).mean()], [(w * x).mean(), w.mean()]])
-        step = np.linalg.solve(h + 1e-9 * np.eye(2), g)
-        a, b = a - np.clip(step[0], -5, 5), b - np.clip(step[1], -1, 1)
-    return float(a), float(b)
+    middle, slope = 1 / 6, 80.0
+    if rows:
+        x = np.array([s for r in rows for s in r["shares"]])
+        y = np.array([i in r["labels"] for r in rows for i in range(len(r["shares"]))])
+        order = np.argsort(-x)
+        hits = np.cumsum(y[order])
+        f1 = 2 * hits / (np.arange(1, len(x) + 1) + max(y.sum(), 1))
+        cuts = x[order]
+        inside = (cuts > 0.08) & (cuts < 0.25)
+        if inside.any() and y.any():
+            best = np.flatnonzero(inside & (f1 >= f1[inside].max() - 1e-9))
+            at = int(best[len(best) // 2])
+            middle = (cuts[at] + (cuts[at + 1] if at + 1 < len(cuts) else cuts[at])) / 2
+            likely = lambda a: np.log1p(np.exp(-np.clip(np.where(y, 1, -1) * a * (x - middle), -40, 40))).sum()
+            slope = min((10.0, 20.0, 40.0, 60.0, 80.0, 120.0, 160.0), key=likely)
+    return float(slope), float(-slope * middle)
 
 
 def assign(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
