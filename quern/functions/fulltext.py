@@ -18,7 +18,7 @@ SPLIT = r"[^\p{L}\p{N}]+"
 def tokens(col: Column | str, fold: bool = True) -> Column:
     """Words of a text, in lower case unless ``fold`` is off; NULL stays NULL. JVM only."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.filter(F.split(F.lower(c) if fold else c, SPLIT), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(c) if fold else c, SPLIT), "")
 
 
 def contains_tokens(col: Column | str, words: str) -> Column:

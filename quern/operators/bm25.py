@@ -9,6 +9,8 @@ k1 and b are conventional values.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +33,6 @@ def query_terms(query: str, stemming: bool = False) -> list[str]:
     return sorted({stem(w) for w in words} if stemming else set(words))
 
 
-def _is(term: str):
-    return lambda word: word == term
-
-
 def scores(texts: DataFrame, keys: list[str], text: str, query: str, stemming: bool = False, operator: str = "or") -> DataFrame:
     """(keys.., score) of every text that holds a term (``or``) or all terms (``and``) of the query."""
     terms = query_terms(query, stemming)
@@ -42,8 +40,11 @@ def scores(texts: DataFrame, keys: list[str], text: str, query: str, stemming: b
     rows = texts.where(F.col(text).isNotNull()).select(*keys, words.alias("words")).withColumn("length", F.size("words")).where("length > 0")
     figures = rows.agg(F.count("*").alias("docs"), F.avg("length").alias("mean_length"))
     # tf of the query's terms without exploding the texts.
-    tf = F.array(*[F.struct(F.lit(t).alias("term"), F.size(F.filter("words", _is(t))).alias("tf")) for t in terms])
-    hits = rows.select(*keys, "length", F.explode(tf).alias("p")).select(*keys, "length", "p.term", "p.tf").where("tf > 0")
+    tf = F.array(*[F.struct(F.lit(t).alias("term"), (F.size("words") - F.size(F.array_remove("words", t))).alias("tf")) for t in terms])
+    # A text that does not even contain a term's letters is not split again (stems may change letters, so they get no such test).
+    likely = texts if stemming or not terms else texts.where(reduce(lambda a, b: a | b, [F.lower(F.col(text)).contains(t) for t in terms]))
+    able = likely.where(F.col(text).isNotNull()).select(*keys, words.alias("words")).withColumn("length", F.size("words")).where("length > 0")
+    hits = able.select(*keys, "length", F.explode(tf).alias("p")).select(*keys, "length", "p.term", "p.tf").where("tf > 0")
     frequency = hits.groupBy("term").agg(F.count("*").alias("df"))
     # Both sides are bounded: one row of figures, one row a query term.
     idf = frequency.crossJoin(F.broadcast(figures)).select("term", "mean_length", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))

@@ -209,6 +209,8 @@ def value_likeness(a: dict, b: dict) -> float:
     if abs(a["fractional"] / a["n"] - b["fractional"] / b["n"]) > 0.5:
         return 0.0
     ha, hb = _histogram(a["bins"]), _histogram(b["bins"])
+    if not ha or not hb:
+        return shared
     na, nb = sum(ha.values()), sum(hb.values())
 
     def mean(h: dict[int, int], n: int) -> float:

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import id_key
@@ -94,8 +94,11 @@ def surplus(messages: DataFrame, store: KeyedStore | None = None) -> DataFrame:
 
 
 def deduplicate(messages: DataFrame) -> DataFrame:
-    """All columns of exactly one row per message, plus ``message_key``."""
-    named = messages.columns
-    body = F.struct(*[F.col(f"`{c}`") for c in named]).alias("row")
-    once = identified(messages).groupBy(*KEY).agg(F.min_by(body, delivery_rank()).alias("row"))
-    return once.select("row.*", "message_key")
+    """All columns of exactly one row per message, plus ``message_key``.
+
+    A ranked window rather than an aggregate of whole rows: columns that nobody asks for are
+    pruned from the scan, and the limit on the rank is applied before the shuffle, so a message
+    with very many copies sends one row a task.
+    """
+    w = Window.partitionBy(*KEY).orderBy(F.col("delivered_at").asc_nulls_last(), F.col("delivery_id").asc_nulls_last())
+    return identified(messages).withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank")

@@ -46,7 +46,9 @@ def nearest_many(vectors: DataFrame, key: str, vector: str, queries: DataFrame,
         def task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, q = shared.value
             best: list[tuple[np.ndarray, np.ndarray]] = []
+            kind = None
             for batch in batches:
+                kind = batch.schema.types[0]
                 ids = np.array(batch.column(0).to_pylist())
                 v = np.array(batch.column(1).to_pylist(), np.float32)
                 if not len(ids):
@@ -62,7 +64,7 @@ def nearest_many(vectors: DataFrame, key: str, vector: str, queries: DataFrame,
                 d, i = best[0]
                 keep = np.isfinite(d)
                 rows = np.repeat(np.arange(len(names)), keep.sum(axis=1))
-                yield pa.RecordBatch.from_arrays([pa.array([names[r] for r in rows]), pa.array(i[keep]), pa.array(d[keep].astype(np.float64))], names=["query", "key", "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array([names[r] for r in rows], kind), pa.array(i[keep], kind), pa.array(d[keep].astype(np.float64))], names=["query", "key", "distance"])
 
         kind = vectors.schema[key].dataType.simpleString()
         one = vectors.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(task, f"query {kind}, key {kind}, distance double")

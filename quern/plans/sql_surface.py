@@ -29,6 +29,7 @@ _NODES = frozenset(
     "Project Filter Aggregate Sort GlobalLimit LocalLimit Limit LimitAndOffset Offset Tail UnresolvedRelation UnresolvedInlineTable SubqueryAlias Join LateralJoin AsOfJoin Union Except Intersect Distinct UnresolvedWith UnresolvedHaving OneRowRelation Generate "
     "UnresolvedTableValuedFunction UnresolvedSubqueryColumnAliases WithWindowDefinition Pivot Unpivot Window Deduplicate UnresolvedHint UnresolvedTVFAliases Sample LocalRelation Range UnresolvedOrdinal RepartitionByExpression Repartition UnionLoop UnresolvedTVFAliases".split()
 )
+_FTS = r"(\b(?:from|join)\s+)fts\s*\(\s*'(\w+)'\s*,\s*'((?:[^']|'')*)'\s*\)"
 _CODE = frozenset("reflect java_method try_reflect try_java_method python_udf".split())
 _JSON = ("options", "params", "result", "variant_data")
 #: Error classes of Spark and what to tell the caller; the first that fits is used.
@@ -170,7 +171,7 @@ class SqlSurface:
         """``fts('messages', 'words')`` in FROM becomes a view of scored messages."""
 
         def swap(m: re.Match) -> str:
-            table, query = m[1], m[2].replace("''", "'")
+            lead, table, query = m[1], m[2], m[3].replace("''", "'")
             df = self.views[table]
             try:
                 clause = json.loads(query)
@@ -186,11 +187,9 @@ class SqlSurface:
                 raise SqlRefused("fts takes words, a match or a boolean query; phrases are not indexed")
             name = f"{self.prefix}fts_{uuid.uuid4().hex[:8]}"
             df.join(scored.withColumnRenamed("score", "_score"), keys).createOrReplaceTempView(name)
-            return name
+            return lead + name
 
-        out = re.sub(r"\bfts\s*\(\s*'(\w+)'\s*,\s*'((?:[^']|'')*)'\s*\)", swap, body, flags=re.I)
-        if re.search(r"\bfts\s*\(", out, re.I):
-            raise SqlRefused("fts('messages', 'words') is a table: use it in FROM")
+        out = re.sub(_FTS, swap, body, flags=re.I)
         return out
 
     def _bind(self, body: str) -> str:
@@ -204,7 +203,9 @@ class SqlSurface:
     def frame(self, sql: str) -> DataFrame:
         """The checked statement as a DataFrame; vectors and binary columns are left out of a wildcard."""
         text = sql.strip().rstrip(";").strip()
-        gated = re.sub(r"\bfts\s*\(\s*'(\w+)'\s*,\s*'(?:[^']|'')*'\s*\)", r"\1", text, flags=re.I)
+        gated = re.sub(_FTS, r"\1\2", text, flags=re.I)
+        if re.search(r"\bfts\s*\(", gated, re.I):
+            raise SqlRefused("fts('messages', 'words') is a table: use it in FROM")
         self.check(gated)
         try:
             df = self.spark.sql(self._bind(self._fts(text)))

@@ -68,6 +68,15 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Enough partitions for every core before work in Python.
+
+    A large input has them already and is left alone; only an input of a few files is dealt out.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path in whatever file system it lives in."""
     jvm = spark.sparkContext._jvm
