@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.session import cut
+from quern.session import cut, spread
 
 FEATURES = 1 << 16
 #: Groups of documents by language: words are weighed against what chance gives in their own language.
@@ -83,6 +83,7 @@ def prepare(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> Dat
     number = F.create_map(*[x for i, s in enumerate(subjects) for x in (F.lit(s), F.lit(i))])
     own = labels.where(F.col("subject").isin(subjects)).groupBy("doc_id").agg(F.sort_array(F.collect_set(number[F.col("subject")])).alias("labels"))
     rows = documents.where("text is not null and doc_id is not null").select("doc_id", "text", tongue.alias("tongue")).join(own, "doc_id", "left").select("doc_id", "text", "labels", "tongue")
+    rows = spread(rows)
     return cut(rows.mapInArrow(_tokenise, "doc_id bigint, sentences array<array<int>>, labels array<int>, tongue int"), "sentences")
 
 

@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quern.session import spread
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The splitting pattern that belongs to the byte-level vocabulary (fixed by its publisher).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -32,6 +34,6 @@ def count_tokens(documents: DataFrame, keep: list[str], path: str = TOKENIZER) -
             sizes = [len(encode(t)) for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(sizes, pa.int64())], names=[*keep, "n_tokens"])
 
-    rows = documents.where("text is not null").select(*keep, "text")
+    rows = spread(documents.where("text is not null").select(*keep, "text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", n_tokens bigint"
     return rows.mapInArrow(task, schema)
