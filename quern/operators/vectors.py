@@ -111,6 +111,49 @@ class InvertedFile:
         return nearest(self.filed.where(F.col("list").isin(lists)), self.key, self.vector, query, k)
 
 
+    def nearest_many(self, queries: DataFrame, k: int, probes: int = 8) -> DataFrame:
+        """(query, key, distance, rank) for a stated query set: each list is compared only with the queries that probe it."""
+        from pyspark.sql import Window
+
+        stated = queries.select("query", self.vector).toArrow()
+        names, q = stated["query"].to_pylist(), np.array(stated[self.vector].to_pylist(), np.float32).reshape(stated.num_rows, -1)
+        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
+        wanted = np.zeros((len(names), len(self.centroids)), bool)
+        if len(names):
+            np.put_along_axis(wanted, np.argsort(-(q @ self.centroids.T), axis=1)[:, :probes], True, axis=1)
+        shared = self.filed.sparkSession.sparkContext.broadcast((names, q, wanted))
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, q, wanted = shared.value
+            best: dict[int, list[tuple[float, object]]] = {}
+            kind = None
+            for batch in batches:
+                kind = batch.schema.types[0]
+                ids, lists = batch.column(0).to_pylist(), batch.column(2).to_numpy()
+                v = np.array(batch.column(1).to_pylist(), np.float32).reshape(batch.num_rows, -1)
+                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+                for one in np.unique(lists):
+                    rows, asked = np.flatnonzero(lists == one), np.flatnonzero(wanted[:, one])
+                    d = 1 - q[asked] @ v[rows].T
+                    for i, number in enumerate(asked):
+                        near = np.argsort(d[i], kind="stable")[: k + 1]
+                        found = best.get(int(number), []) + [(float(d[i, j]), ids[rows[j]]) for j in near if ids[rows[j]] != names[number]]
+                        best[int(number)] = sorted(found)[:k]
+            if kind is not None:
+                out = [(names[n], key, d) for n, pairs in best.items() for d, key in pairs]
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], kind), pa.array([o[1] for o in out], kind), pa.array([o[2] for o in out], pa.float64())], names=["query", "key", "distance"])
+
+        kind = self.filed.schema[self.key].dataType.simpleString()
+        near = self.filed.mapInArrow(task, f"query {kind}, key {kind}, distance double")
+        return near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "key"))).where(F.col("rank") <= k)
+
+
+def recall(exact: DataFrame, found: DataFrame) -> DataFrame:
+    """One row (recall): share of the exact neighbours that were found."""
+    hit = exact.join(found.select("query", "key", F.lit(1).alias("hit")), ["query", "key"], "left")
+    return hit.agg((F.count("hit") / F.greatest(F.count("*"), F.lit(1))).alias("recall"))
+
+
 def recency(timestamp: Column, now: Column) -> Column:
     """Small bonus that fades with age: BOOST * exp(-days / HALF_LIFE_DAYS)."""
     days = F.greatest((F.unix_micros(now) - F.unix_micros(timestamp)) / 86_400e6, F.lit(0.0))

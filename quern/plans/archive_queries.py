@@ -313,14 +313,10 @@ def vector_neighbours(spark, sf):
 def vector_index_recall(spark, sf):
     e = table(spark, sf, "embeddings")
     index = vectors.InvertedFile(e, "vec_id", "embedding", lists=16)
-    filed = cut(index.filed, "filed")
-    index.filed = filed
-    exact = found = 0
-    for number in (0, 50, 100, 150, 200, 250, 300, 350, 400, 450):
-        q = _vector(spark, sf, number)
-        want = {r[0] for r in vectors.nearest(filed, "vec_id", "embedding", q, 10).collect()}
-        exact, found = exact + len(want), found + len(want & {r[0] for r in index.nearest(q, 10, probes=10).collect()})
-    return spark.range(1).select((F.lit(found / max(exact, 1)) >= 0.9).alias("good_enough"))
+    index.filed = cut(index.filed, "filed")
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "embedding")
+    exact = vectors.nearest_many(e, "vec_id", "embedding", queries, 10)
+    return vectors.recall(exact, index.nearest_many(queries, 10, probes=13)).select((F.col("recall") >= 0.9).alias("good_enough"))
 
 
 # JSON
