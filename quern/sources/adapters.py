@@ -16,7 +16,7 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -72,16 +72,18 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         if os.path.isfile(self.root):
             return [_File(self.root)]
-        return [_File(str(p)) for p in sorted(Path(self.root).rglob("*")) if p.is_file() and p.name.endswith(self.suffixes)]
+        return [_File(str(p)) for p in sorted(Path(self.root).rglob("*")) if p.is_file() and (p.name.endswith(self.suffixes) or ".jsonl" in self.suffixes and ".jsonl." in p.name)]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition | None) -> Iterator[tuple]:
+        if partition is None:  # no file matched
+            return
         for number, line in enumerate(_open_lines(partition.path), 1):
             if line.strip():
                 yield partition.path, number, line.rstrip("\n")
 
 
 class TranscriptLines(DataSource):
-    """``spark.read.format("transcript_lines")``: one row per record of every file below ``path``."""
+    """``spark.read.format("transcript_lines")``: one row per record of every file below ``path``; ``.jsonl`` covers rotated and zstd files too."""
 
     @classmethod
     def name(cls) -> str:
@@ -107,15 +109,16 @@ def _first(value, order="line"):
     return F.min_by(value, F.when(value.isNotNull(), F.col(order)))
 
 
-def claude_code(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def claude_code(spark: SparkSession, path: str, keep: Column | None = None, agent: str = "claude-code", project: Column | None = None) -> dict[str, DataFrame]:
     """One session a file; user and assistant rows are turns, every other row a system carrier with the raw record."""
     v = F.col("v")
     rows = lines(spark, path).withColumn("v", as_variant("value")).where("v is not null")
+    rows = rows if keep is None else rows.where(keep)
     s = lambda *k: get_string(v, *k)
     side = F.regexp_extract("file", r"/subagents/(?:agent-)?([^/]+)\.jsonl$", 1)
     facts = rows.groupBy("file").agg(_first(s("sessionId")).alias("own"), _first(s("cwd")).alias("project"), _first(s("timestamp")).alias("created_at"), _first(s("agentType")).alias("kind"))
     facts = facts.withColumn("side", side).withColumn("own", F.coalesce("own", F.regexp_extract("file", r"([^/]+)\.jsonl$", 1)))
-    facts = facts.select("file", F.when(F.col("side") != "", F.concat_ws("/", "own", F.concat(F.lit("agent-"), F.col("side")))).otherwise(F.col("own")).alias("session_id"), F.when(F.col("side") != "", F.col("own")).alias("parent_session_id"), F.when(F.col("side") != "", F.concat(F.lit("claude-code/"), F.coalesce("kind", F.lit("subagent")))).otherwise("claude-code").alias("source_agent"), F.coalesce("project", F.regexp_extract("file", r"/([^/]+)/[^/]+$", 1)).alias("project"), "created_at")
+    facts = facts.select("file", F.when(F.col("side") != "", F.concat_ws("/", "own", F.concat(F.lit("agent-"), F.col("side")))).otherwise(F.col("own")).alias("session_id"), F.when(F.col("side") != "", F.col("own")).alias("parent_session_id"), F.when(F.col("side") != "", F.concat(F.lit(f"{agent}/"), F.coalesce("kind", F.lit("subagent")))).otherwise(agent).alias("source_agent"), F.coalesce(*([project] if project is not None else []), "project", F.regexp_extract("file", r"/([^/]+)/[^/]+$", 1)).alias("project"), "created_at")
     sessions = facts.where("created_at is not null").select(F.col("session_id").alias("id"), "parent_session_id", F.lit(None).cast("string").alias("parent_message_id"), "source_agent", "created_at", "project")
     items = F.try_variant_get(v, "$.message.content", "array<variant>")
     only_results = F.coalesce((F.size(items) > 0) & F.forall(items, lambda x: F.try_variant_get(x, "$.type", "string") == "tool_result"), F.lit(False))
@@ -225,6 +228,8 @@ REGISTRY = {"claude-code": claude_code, "codex-cli": codex_cli, "letta-code": le
 
 
 def read(spark: SparkSession, adapter: str, path: str) -> dict[str, DataFrame]:
+    from quern.sources import more_adapters  # noqa: F401 - fills the registry
+
     if adapter not in REGISTRY:
         raise KeyError(f"no adapter {adapter!r}; known: {', '.join(REGISTRY)}")
     return REGISTRY[adapter](spark, path)
