@@ -3,7 +3,7 @@
 The postings (document, term, tf, length) are one narrow table that can be written once and
 reused. A query keeps only the postings of its terms, so what is joined and summed is a few
 terms' worth of rows, not the corpus; document frequencies are aggregated from the same
-filtered rows. Corpus figures (number of documents, average length) are one aggregate.
+filtered rows. Corpus figures (number of documents, average length) are one aggregate, two numbers.
 k1 and b are conventional values.
 """
 
@@ -38,7 +38,7 @@ def scores(texts: DataFrame, keys: list[str], text: str, query: str, stemming: b
     terms = query_terms(query, stemming)
     words = stemmed(F.col(text)) if stemming else tokens(text)
     rows = texts.where(F.col(text).isNotNull()).select(*keys, words.alias("words")).withColumn("length", F.size("words")).where("length > 0")
-    figures = rows.agg(F.count("*").alias("docs"), F.avg("length").alias("mean_length"))
+    docs, mean_length = rows.agg(F.count("*"), F.avg("length")).first()
     # tf of the query's terms without exploding the texts.
     tf = F.array(*[F.struct(F.lit(t).alias("term"), (F.size("words") - F.size(F.array_remove("words", t))).alias("tf")) for t in terms])
     # A text that does not even contain a term's letters is not split again (stems may change letters, so they get no such test).
@@ -46,9 +46,9 @@ def scores(texts: DataFrame, keys: list[str], text: str, query: str, stemming: b
     able = likely.where(F.col(text).isNotNull()).select(*keys, words.alias("words")).withColumn("length", F.size("words")).where("length > 0")
     hits = able.select(*keys, "length", F.explode(tf).alias("p")).select(*keys, "length", "p.term", "p.tf").where("tf > 0")
     frequency = hits.groupBy("term").agg(F.count("*").alias("df"))
-    # Both sides are bounded: one row of figures, one row a query term.
-    idf = frequency.crossJoin(F.broadcast(figures)).select("term", "mean_length", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weighed = hits.join(F.broadcast(idf), "term").withColumn("w", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length"))))
+    # One row a query term.
+    idf = frequency.select("term", F.log(1 + (F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weighed = hits.join(F.broadcast(idf), "term").withColumn("w", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean_length or 1.0))))
     out = weighed.groupBy(*keys).agg(F.sum("w").alias("score"), F.count("*").alias("matched"))
     return (out.where(F.col("matched") == len(terms)) if operator == "and" else out).drop("matched")
 

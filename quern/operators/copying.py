@@ -24,10 +24,11 @@ def missing(source: DataFrame, target: DataFrame, key: list[str]) -> DataFrame:
 
 def verify(source: DataFrame, target: DataFrame, key: list[str]) -> DataFrame:
     """One row (missing, duplicates, synced)."""
-    gone = missing(source.select(*key), target, key).distinct().agg(F.count("*").alias("missing"))
-    twice = target.groupBy(*key).agg((F.count("*") - 1).alias("d")).agg(F.coalesce(F.sum("d"), F.lit(0)).alias("duplicates"))
-    # Two single rows.
-    return gone.crossJoin(F.broadcast(twice)).withColumn("synced", (F.col("missing") == 0) & (F.col("duplicates") == 0))
+    zero = F.lit(0).cast("bigint")
+    gone = missing(source.select(*key), target, key).distinct().select(F.lit(1).cast("bigint").alias("missing"), zero.alias("duplicates"))
+    twice = target.groupBy(*key).agg((F.count("*") - 1).alias("duplicates")).select(zero.alias("missing"), "duplicates")
+    sums = gone.unionByName(twice).agg(F.coalesce(F.sum("missing"), zero).alias("missing"), F.coalesce(F.sum("duplicates"), zero).alias("duplicates"))
+    return sums.withColumn("synced", (F.col("missing") == 0) & (F.col("duplicates") == 0))
 
 
 def copy(source: Store, target: Store) -> dict[str, int]:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.session import cut
+
 BOOST, HALF_LIFE_DAYS = 0.02, 30.0
 
 
@@ -26,21 +29,42 @@ def nearest(vectors: DataFrame, key: str, vector: str, query: list[float], k: in
     return scored.orderBy("distance", key).limit(k)
 
 
-def nearest_many(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, block: int = 512) -> DataFrame:
+def _query_blocks(queries: DataFrame, vector: str, block: int) -> Iterator[tuple[list, np.ndarray]]:
+    """The stated queries in blocks of unit vectors; the driver holds one block at a time."""
+    names, rows = [], []
+
+    def out() -> tuple[list, np.ndarray]:
+        matrix = np.array(rows, np.float32).reshape(len(names), -1)
+        return list(names), matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+
+    for name, value in queries.select("query", vector).where(F.col(vector).isNotNull()).toLocalIterator():
+        names.append(name)
+        rows.append(value)
+        if len(names) == block:
+            yield out()
+            names, rows = [], []
+    if names:
+        yield out()
+
+
+def _gather(parts: list[DataFrame], vectors: DataFrame, key: str, k: int) -> DataFrame:
+    from pyspark.sql import Window
+
+    kind = vectors.schema[key].dataType.simpleString()
+    out = reduce(lambda a, b: a.unionByName(b), parts) if parts else vectors.sparkSession.createDataFrame([], f"query {kind}, key {kind}, distance double")
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "key"))).where(F.col("rank") <= k)
+
+
+def nearest_many(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:
     """(query, key, distance, rank): the k nearest of every stated query, itself excepted.
 
     ``queries`` (query, vector) is a stated set; it is read in blocks of ``block`` rows, each one
     matrix product against the partitions of the corpus. Every task keeps its own k best per
     query, so the shuffle carries k rows a query and task, never all pairs.
     """
-    from pyspark.sql import Window
-
-    blocks = queries.select("query", vector).toArrow()
-    out = None
-    for at in range(0, blocks.num_rows, block):
-        part = blocks.slice(at, block)
-        names, matrix = part["query"].to_pylist(), np.array(part[vector].to_pylist(), np.float32)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+    kind = vectors.schema[key].dataType.simpleString()
+    parts: list[DataFrame] = []
+    for names, matrix in _query_blocks(queries, vector, block):
         shared = vectors.sparkSession.sparkContext.broadcast((names, matrix))
 
         def task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -66,14 +90,9 @@ def nearest_many(vectors: DataFrame, key: str, vector: str, queries: DataFrame,
                 rows = np.repeat(np.arange(len(names)), keep.sum(axis=1))
                 yield pa.RecordBatch.from_arrays([pa.array([names[r] for r in rows], kind), pa.array(i[keep], kind), pa.array(d[keep].astype(np.float64))], names=["query", "key", "distance"])
 
-        kind = vectors.schema[key].dataType.simpleString()
         one = vectors.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(task, f"query {kind}, key {kind}, distance double")
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        kind = vectors.schema[key].dataType.simpleString()
-        return vectors.sparkSession.createDataFrame([], f"query {kind}, key {kind}, distance double, rank int")
-    w = Window.partitionBy("query").orderBy("distance", "key")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        parts.append(one if len(names) < block else cut(one, "near"))
+    return _gather(parts, vectors, key, k)
 
 
 class InvertedFile:
@@ -111,17 +130,19 @@ class InvertedFile:
         return nearest(self.filed.where(F.col("list").isin(lists)), self.key, self.vector, query, k)
 
 
-    def nearest_many(self, queries: DataFrame, k: int, probes: int = 8) -> DataFrame:
+    def nearest_many(self, queries: DataFrame, k: int, probes: int = 8, block: int = 1024) -> DataFrame:
         """(query, key, distance, rank) for a stated query set: each list is compared only with the queries that probe it."""
-        from pyspark.sql import Window
-
-        stated = queries.select("query", self.vector).toArrow()
-        names, q = stated["query"].to_pylist(), np.array(stated[self.vector].to_pylist(), np.float32).reshape(stated.num_rows, -1)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-        wanted = np.zeros((len(names), len(self.centroids)), bool)
-        if len(names):
+        kind = self.filed.schema[self.key].dataType.simpleString()
+        parts = []
+        for names, q in _query_blocks(queries, self.vector, block):
+            wanted = np.zeros((len(names), len(self.centroids)), bool)
             np.put_along_axis(wanted, np.argsort(-(q @ self.centroids.T), axis=1)[:, :probes], True, axis=1)
-        shared = self.filed.sparkSession.sparkContext.broadcast((names, q, wanted))
+            one = self.filed.mapInArrow(self._probe((names, q, wanted), k), f"query {kind}, key {kind}, distance double")
+            parts.append(one if len(names) < block else cut(one, "near"))
+        return _gather(parts, self.filed, self.key, k)
+
+    def _probe(self, block: tuple, k: int):
+        shared = self.filed.sparkSession.sparkContext.broadcast(block)
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q, wanted = shared.value
@@ -143,9 +164,7 @@ class InvertedFile:
                 out = [(names[n], key, d) for n, pairs in best.items() for d, key in pairs]
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], kind), pa.array([o[1] for o in out], kind), pa.array([o[2] for o in out], pa.float64())], names=["query", "key", "distance"])
 
-        kind = self.filed.schema[self.key].dataType.simpleString()
-        near = self.filed.mapInArrow(task, f"query {kind}, key {kind}, distance double")
-        return near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "key"))).where(F.col("rank") <= k)
+        return task
 
 
 def recall(exact: DataFrame, found: DataFrame) -> DataFrame:
