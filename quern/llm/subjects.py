@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.session import cut, spread
@@ -287,5 +287,6 @@ def composition(documents: DataFrame, labels: DataFrame, subjects: DataFrame) ->
     """Make-up of the corpus: per subject the documents about it, the expected number of sentences, and its share of all of them."""
     rows = assign(documents, labels, subjects)
     per = rows.groupBy("subject").agg(F.sum((F.col("posterior") >= 0.5).cast("bigint")).alias("documents"), F.sum("posterior").alias("expected_documents"), F.sum(F.col("share") * F.col("n_sentences")).alias("expected_sentences"))
-    total = per.agg(F.sum("expected_sentences").alias("total"))
-    return per.crossJoin(F.broadcast(total)).select("subject", "documents", "expected_documents", "expected_sentences", (F.col("expected_sentences") / F.col("total")).alias("sentence_share"))
+    # At most one row a subject: the window holds a dozen rows.
+    total = F.sum("expected_sentences").over(Window.partitionBy())
+    return per.select("subject", "documents", "expected_documents", "expected_sentences", (F.col("expected_sentences") / total).alias("sentence_share"))
