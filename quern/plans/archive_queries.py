@@ -103,10 +103,11 @@ def source_agents(spark, sf):
     return reads.agents(table(spark, sf, "sessions"), subagents=False)
 
 
-@query(W + M + " SELECT CASE WHEN json_valid(options) THEN options ->> '$.pond.ingest.host.hostname' END AS host, count(DISTINCT session_id) AS sessions, max(seen_at) AS last FROM m GROUP BY 1")
+@query(W + M + " SELECT CASE WHEN json_valid(options) THEN nullif(regexp_extract(options, '"ingest":[{]"host":[{]"hostname":"([^"]*)"', 1), '') END AS host, count(DISTINCT session_id) AS sessions, max(seen_at) AS last FROM m GROUP BY 1")
 def ingest_host_activity(spark, sf):
-    m = messages_of(spark, sf).withColumn("v", json_getters.as_variant("options"))
-    return reads.host_activity(m, json_getters.get_string(F.col("v"), "pond", "ingest", "host", "hostname"), "seen_at").withColumn("last", ntz("last"))
+    stamp = F.regexp_extract("options", r'"ingest":[{]"host":[{]"hostname":"([^"]*)"', 1)
+    host = F.when(json_getters.as_variant("options").isNotNull() & (stamp != ""), stamp)
+    return reads.host_activity(messages_of(spark, sf), host, "seen_at").withColumn("last", ntz("last"))
 
 
 @query("SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS keys, CAST(sum(n - 1) AS BIGINT) AS duplicates FROM (SELECT count(*) AS n FROM messages GROUP BY session_id, id)")
