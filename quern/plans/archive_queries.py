@@ -103,7 +103,7 @@ def source_agents(spark, sf):
     return reads.agents(table(spark, sf, "sessions"), subagents=False)
 
 
-@query(W + M + " SELECT CASE WHEN json_valid(options) THEN nullif(regexp_extract(options, '"ingest":[{]"host":[{]"hostname":"([^"]*)"', 1), '') END AS host, count(DISTINCT session_id) AS sessions, max(seen_at) AS last FROM m GROUP BY 1")
+@query(W + M + """ SELECT CASE WHEN json_valid(options) THEN nullif(regexp_extract(options, '"ingest":[{]"host":[{]"hostname":"([^"]*)"', 1), '') END AS host, count(DISTINCT session_id) AS sessions, max(seen_at) AS last FROM m GROUP BY 1""")
 def ingest_host_activity(spark, sf):
     stamp = F.regexp_extract("options", r'"ingest":[{]"host":[{]"hostname":"([^"]*)"', 1)
     host = F.when(json_getters.as_variant("options").isNotNull() & (stamp != ""), stamp)
