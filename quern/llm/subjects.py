@@ -82,8 +82,8 @@ def prepare(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> Dat
     tongue = F.pmod(F.xxhash64(F.lower(F.substring(F.coalesce("lang", F.lit("")), 1, 2))), F.lit(LANGUAGES)).cast("int")
     number = F.create_map(*[x for i, s in enumerate(subjects) for x in (F.lit(s), F.lit(i))])
     own = labels.where(F.col("subject").isin(subjects)).groupBy("doc_id").agg(F.sort_array(F.collect_set(number[F.col("subject")])).alias("labels"))
-    rows = documents.where("text is not null and doc_id is not null").select("doc_id", "text", tongue.alias("tongue")).join(own, "doc_id", "left").select("doc_id", "text", "labels", "tongue")
-    rows = spread(rows)
+    texts = spread(documents.where("text is not null and doc_id is not null").select("doc_id", "text", tongue.alias("tongue")))
+    rows = texts.join(own, "doc_id", "left").select("doc_id", "text", "labels", "tongue")
     return cut(rows.mapInArrow(_tokenise, "doc_id bigint, sentences array<array<int>>, labels array<int>, tongue int"), "sentences")
 
 
