@@ -72,6 +72,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Enough partitions for every core before work in Python.
 
     A large input has them already and is left alone; only an input of a few files is dealt out.
+    For scans with filters and projections only: counting the partitions of a plan with an
+    exchange would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
