@@ -41,12 +41,11 @@ def links(rows: DataFrame, node: str = "id", parent: str = "parent_id") -> DataF
 def _join_parent(children: DataFrame, parents: DataFrame) -> DataFrame:
     """``children`` (.., parent) left join ``parents`` (parent, ..) with hot parents by broadcast."""
     counts = children.groupBy("parent").count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    bound = max(total // HOT, 100_000)
-    hot = cut(counts.where(F.col("count") > bound).select("parent"), "hot")
-    if hot.isEmpty():
+    total, most = counts.agg(F.sum("count"), F.max("count")).first()
+    bound = max((total or 0) // HOT, 100_000)
+    if (most or 0) <= bound:
         return children.join(parents, "parent", "left")
-    few = F.broadcast(hot)
+    few = F.broadcast(cut(counts.where(F.col("count") > bound).select("parent"), "hot"))
     cold = children.join(few, "parent", "left_anti").join(parents, "parent", "left")
     return cold.unionByName(children.join(few, "parent").join(F.broadcast(parents.join(few, "parent")), "parent", "left"))
 

@@ -64,3 +64,9 @@ def test_paths_and_descendants(spark):
     full = hierarchy.resolve(df, "id", "parent_session_id", paths=True)
     assert {r.id: r.path for r in full.collect()} == {"a": "a", "b": "a > b", "c": "a > b > c", "d": "a > d", "x": None}
     assert sorted(tuple(r) for r in hierarchy.descendants(full).collect()) == [("a", "b", 1), ("a", "c", 2), ("a", "d", 1), ("b", "c", 1)]
+
+
+def test_hot_parent_is_split_off(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "max", lambda *_: 50, raising=False)
+    rows = [("r", None, 0), ("x", "r", 0), *[(f"leaf{i}", "x", 0) for i in range(200)], ("deep", "leaf7", 0)]
+    assert lineage(spark, rows) == brute(rows)
