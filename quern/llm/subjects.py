@@ -42,8 +42,8 @@ NONE = 4.0
 #: Occurrences in labelled text from which a word counts as known, and what it must then speak for a subject.
 SUPPORT, TELLING = 5, 0.7
 
-_HEAD = re.compile(r"^\s*(?:#+[^\n]*|(?:>+|[-*+•]|\d+[.)]|\|)\s*)", re.M)
-_SPEAKER = re.compile(r"^\s*(?:\[[^\]\n]{1,24}\]|[A-Za-z]{2,16}:)\s*", re.M)
+_HEAD = re.compile(r"^[ \t]*(?:#+[^\n]*|(?:>+|[-*+•]|\d{1,4}[.)]|\|)[ \t]*)", re.M)
+_SPEAKER = re.compile(r"^[ \t]*(?:\[[^\]\n]{1,24}\]|[A-Za-z]{2,16}:)[ \t]*", re.M)
 _END = re.compile(r"(?<=[.!?…])[\"'»”)]*\s+|\n+")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 
