@@ -87,6 +87,16 @@ def prepare(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> Dat
     return cut(rows.mapInArrow(_tokenise, "doc_id bigint, sentences array<array<int>>, labels array<int>, tongue int"), "sentences")
 
 
+#: Documents handled at once; the working arrays are a few megabytes whatever the size of Arrow's batches.
+CHUNK = 256
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, CHUNK):
+            yield batch.slice(at, CHUNK)
+
+
 class _Batch:
     """One Arrow batch as flat arrays: features, their sentence, the sentences' document."""
 
@@ -191,7 +201,7 @@ def fit(prepared: DataFrame, n_subjects: int, passes: int = PASSES) -> np.ndarra
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums(n_subjects)
-        for batch in batches:
+        for batch in _chunks(batches):
             b = _Batch(batch)
             own = np.zeros((b.n, n_subjects))
             for d, labels in enumerate(b.labels):
@@ -214,7 +224,7 @@ def fit(prepared: DataFrame, n_subjects: int, passes: int = PASSES) -> np.ndarra
 
         def maximise(batches: Iterator[pa.RecordBatch], shared=shared, bias=bias) -> Iterator[pa.RecordBatch]:
             sums = _Sums(classes)
-            for batch in batches:
+            for batch in _chunks(batches):
                 b = _Batch(batch)
                 sums.add(b, b.expectation(shared.value, bias)[b.feature_sentence])
             yield sums.emit()
@@ -230,7 +240,7 @@ def shares(prepared: DataFrame, weights: np.ndarray, use_labels: bool = False) -
     shared = prepared.sparkSession.sparkContext.broadcast(weights)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _chunks(batches):
             b = _Batch(batch)
             own = b.labels
             if not use_labels:
