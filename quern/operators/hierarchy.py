@@ -1,8 +1,9 @@
 """Parent-child links of unknown depth to full hierarchies, by pointer doubling.
 
 Every round joins the ancestor pointers to themselves, which doubles the distance they
-span, so a forest of depth d is done after log2(d) + 1 rounds. Whatever is still unresolved
-after as many rounds as the number of open rows allows must run in a circle.
+span, so a forest of depth d is done after log2(d) + 1 rounds. What no round can close any
+more runs in a circle; the rounds go on until every pointer stands on its circle and has
+seen all of it, which takes the logarithm of the longest circle or way into one.
 
 Only inner nodes (ids that are somebody's parent) take part in the rounds; leaves, mostly
 the great majority, are attached once at the end. Rows that reached their root leave the
@@ -67,26 +68,28 @@ def resolve(rows: DataFrame, node: str = "id", parent: str = "parent_id", paths:
     inner_edges = edges.join(inner_ids, "id", "left_semi")
     state = (
         inner_ids.join(inner_edges, "id", "left")
-        .select("id", F.coalesce("parent", "id").alias("anc"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("steps"), F.col("parent").isNull().alias("done"), F.col("id").alias("least"), F.when(F.lit(paths) & F.col("parent").isNotNull(), F.col("id")).otherwise(empty_path).alias("trail"))
+        .select("id", F.coalesce("parent", "id").alias("anc"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("steps"), F.col("parent").isNull().alias("done"), F.col("id").alias("least"), F.lit(False).alias("lower"), F.when(F.lit(paths) & F.col("parent").isNotNull(), F.col("id")).otherwise(empty_path).alias("trail"))
     )
     state = cut(state, "state")
-    left = state.where(~F.col("done")).count()
+    left, met, _ = _still_open(state)
     rounds = math.ceil(math.log2(left + 1)) + 1 if left else 0
     # Pointers of every inner node are needed in each round; those at a root stay as they are.
     for _ in range(rounds):
         right = state.select(F.col("id").alias("anc"), F.col("anc").alias("anc2"), F.col("steps").alias("steps2"), F.col("done").alias("done2"), F.col("least").alias("least2"), F.col("trail").alias("trail2"))
         moving = state.where(~F.col("done")).join(right, "anc")
         moved = moving.select(
-            "id", F.col("anc2").alias("anc"), (F.col("steps") + F.col("steps2")).alias("steps"), F.col("done2").alias("done"), F.least("least", "least2").alias("least"),
+            "id", F.col("anc2").alias("anc"), (F.col("steps") + F.col("steps2")).alias("steps"), F.col("done2").alias("done"), F.least("least", "least2").alias("least"), (F.col("least2") < F.col("least")).alias("lower"),
             F.when(F.lit(paths), F.concat_ws(SEPARATOR, "trail2", "trail")).otherwise(empty_path).alias("trail"),
         )
         state = cut(moved.unionByName(state.where("done")), "state")
-        now = state.where(~F.col("done")).count()
+        now, heads, lower = _still_open(state)
         if now == 0:
             break
-        if now == left and _all_in_circles(state):
+        # None closed: all open pointers led to open nodes, so none ever will. As many ancestors as before: the
+        # pointers only turn on their circles. No id became lower: each has seen the whole circle.
+        if now == left and heads == met and not lower:
             break
-        left = now
+        left, met = now, heads
     # A node leading into a circle has an ancestor on it; the ancestor's least id is that of the whole circle.
     circle = state.where(~F.col("done")).select(F.col("id").alias("anc"), F.col("least").alias("circle"))
     stuck = state.where(~F.col("done")).join(circle, "anc", "left").select("id", F.col("circle").alias("root"), F.lit(-1).cast("bigint").alias("depth"), empty_path.alias("path"))
@@ -105,10 +108,9 @@ def resolve(rows: DataFrame, node: str = "id", parent: str = "parent_id", paths:
     return out if paths else out.drop("path")
 
 
-def _all_in_circles(state: DataFrame) -> bool:
-    """True if every open pointer leads to another open node: then no further round can close any."""
-    done = state.where("done").select(F.col("id").alias("anc"))
-    return state.where(~F.col("done")).join(done, "anc", "left_semi").isEmpty()
+def _still_open(state: DataFrame) -> tuple[int, int, bool]:
+    """Open nodes, the different ancestors they point to, and whether the last round lowered any ``least``."""
+    return tuple(state.where(~F.col("done")).agg(F.count("*"), F.count_distinct("anc"), F.coalesce(F.max("lower"), F.lit(False))).first())
 
 
 def lineage(sessions: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -70,3 +71,18 @@ def test_hot_parent_is_split_off(spark, monkeypatch):
     monkeypatch.setattr(hierarchy, "max", lambda *_: 50, raising=False)
     rows = [("r", None, 0), ("x", "r", 0), *[(f"leaf{i}", "x", 0) for i in range(200)], ("deep", "leaf7", 0)]
     assert lineage(spark, rows) == brute(rows)
+
+
+def ring(name, n, shift=0):
+    return [(f"{name}{(i + shift) % n:02d}", f"{name}{(i + shift + 1) % n:02d}", 0) for i in range(n)]
+
+
+@pytest.mark.parametrize("rows", [
+    [("a", "b", 0), ("b", "c", 0), ("c", "a", 0)],
+    [("a", "c", 0), ("b", "a", 0), ("c", "b", 0)],
+    [*ring("c", 12), ("r", None, 0), ("s", "r", 0), ("t", "s", 0)],
+    [*ring("z", 3), *[(f"t{i:02d}", f"t{i + 1:02d}" if i < 20 else "z00", 0) for i in range(21)]],
+    [*ring("k", 7), *ring("m", 16), *ring("p", 1), ("x", "k03", 0), ("y", "x", 0), ("a", "m15", 0), ("b", "a", 0), ("c", "b", 0)],
+])
+def test_circles_have_one_root(spark, rows):
+    assert lineage(spark, rows) == brute(rows)
