@@ -16,7 +16,8 @@ Defined results
   NULL, '' and blank parents name none, rows with a NULL id are left out.
 * A parent that is not among the ids ends the lineage below it: its child is a root.
 * Circles, and whatever leads into one: ``depth`` -1, ``root`` the smallest id on the circle,
-  ``path`` NULL.
+  ``path`` NULL. Their ancestors up to one turn of the circle are kept in ``around``, written like a
+  path, each once; no node is its own ancestor.
 """
 
 from __future__ import annotations
@@ -52,9 +53,9 @@ def _join_parent(children: DataFrame, parents: DataFrame) -> DataFrame:
 
 
 def resolve(rows: DataFrame, node: str = "id", parent: str = "parent_id", paths: bool = False) -> DataFrame:
-    """One row per id: (id, parent, root, depth bigint, is_cycle[, path]).
+    """One row per id: (id, parent, root, depth bigint, is_cycle[, path, around]).
 
-    ``parent`` is NULL for roots (also where the named parent is absent).
+    ``parent`` is NULL for roots (also where the named parent is absent); ``around`` where the lineage ends.
     """
     named = cut(links(rows, node, parent), "links")
     ids = named.select(F.col("id").alias("parent"))
@@ -92,20 +93,23 @@ def resolve(rows: DataFrame, node: str = "id", parent: str = "parent_id", paths:
         left, met = now, heads
     # A node leading into a circle has an ancestor on it; the ancestor's least id is that of the whole circle.
     circle = state.where(~F.col("done")).select(F.col("id").alias("anc"), F.col("least").alias("circle"))
-    stuck = state.where(~F.col("done")).join(circle, "anc", "left").select("id", F.col("circle").alias("root"), F.lit(-1).cast("bigint").alias("depth"), empty_path.alias("path"))
+    # Its trail spans the way to the circle and a whole turn: the nearest of each id counts.
+    around = F.when(F.lit(paths), F.array_join(F.reverse(F.array_distinct(F.reverse(F.split("trail", SEPARATOR)))), SEPARATOR)).otherwise(empty_path)
+    stuck = state.where(~F.col("done")).join(circle, "anc", "left").select("id", F.col("circle").alias("root"), F.lit(-1).cast("bigint").alias("depth"), empty_path.alias("path"), around.alias("around"))
     path_of = F.when(F.lit(paths), F.concat_ws(SEPARATOR, "anc", "trail")).otherwise(empty_path)
-    inner = cut(state.where("done").select("id", F.col("anc").alias("root"), F.col("steps").alias("depth"), path_of.alias("path")).unionByName(stuck), "inner")
+    inner = cut(state.where("done").select("id", F.col("anc").alias("root"), F.col("steps").alias("depth"), path_of.alias("path"), empty_path.alias("around")).unionByName(stuck), "inner")
     # Leaves hang below inner nodes; inner nodes keep what the rounds found.
     leaf_edges = edges.join(inner_ids, "id", "left_anti")
     above = inner.withColumnRenamed("id", "parent")
     leaves = _join_parent(leaf_edges, above).select(
         "id", "parent", "root", F.when(F.col("depth") < 0, F.lit(-1)).otherwise(F.col("depth") + 1).cast("bigint").alias("depth"),
         F.when(F.lit(paths) & (F.col("depth") >= 0), F.concat_ws(SEPARATOR, "path", "id")).otherwise(empty_path).alias("path"),
+        F.when(F.lit(paths) & (F.col("depth") < 0), F.concat_ws(SEPARATOR, "around", "id")).otherwise(empty_path).alias("around"),
     )
-    lonely = roots.join(inner_ids, "id", "left_anti").select("id", F.lit(None).cast("string").alias("parent"), F.col("id").alias("root"), F.lit(0).cast("bigint").alias("depth"), F.when(F.lit(paths), F.col("id")).otherwise(empty_path).alias("path"))
-    middle = inner.join(inner_edges, "id", "left").select("id", "parent", "root", "depth", "path")
+    lonely = roots.join(inner_ids, "id", "left_anti").select("id", F.lit(None).cast("string").alias("parent"), F.col("id").alias("root"), F.lit(0).cast("bigint").alias("depth"), F.when(F.lit(paths), F.col("id")).otherwise(empty_path).alias("path"), empty_path.alias("around"))
+    middle = inner.join(inner_edges, "id", "left").select("id", "parent", "root", "depth", "path", "around")
     out = leaves.unionByName(lonely).unionByName(middle).withColumn("is_cycle", F.col("depth") < 0)
-    return out if paths else out.drop("path")
+    return out if paths else out.drop("path", "around")
 
 
 def _still_open(state: DataFrame) -> tuple[int, int, bool]:
@@ -119,14 +123,27 @@ def lineage(sessions: DataFrame) -> DataFrame:
     return resolve(sessions, "id", "parent_session_id").join(named, "id", "left_semi").select(F.col("id").alias("session_id"), F.col("root").alias("root_session_id"), "depth")
 
 
+def _pairs(resolved: DataFrame, path: str) -> DataFrame:
+    at = resolved.where(F.col(path).isNotNull() & (F.col("depth") != 0)).select("id", F.split(path, SEPARATOR).alias("steps"))
+    return at.select(F.col("id").alias("descendant"), F.posexplode("steps").alias("at", "ancestor"), (F.size("steps") - 1).alias("last")).where("at < last").select("ancestor", "descendant", (F.col("last") - F.col("at")).cast("bigint").alias("distance"))
+
+
 def descendants(resolved: DataFrame) -> DataFrame:
     """(ancestor, descendant, distance) for every pair on one path, from ``resolve(paths=True)`` rows.
 
     The closure is read off each node's path, so its size is the sum of the depths and no
-    join over a whole tree is needed. Circles have no path and no rows here.
+    join over a whole tree is needed. Lineages that never end have no path and no rows here:
+    theirs are in ``circle_descendants``, and both together are the whole closure.
     """
-    at = resolved.where("path is not null and depth > 0").select("id", F.split("path", SEPARATOR).alias("steps"))
-    return at.select(F.col("id").alias("descendant"), F.posexplode("steps").alias("at", "ancestor"), (F.size("steps") - 1).alias("last")).where("at < last").select("ancestor", "descendant", (F.col("last") - F.col("at")).cast("bigint").alias("distance"))
+    return _pairs(resolved, "path")
+
+
+def circle_descendants(resolved: DataFrame) -> DataFrame:
+    """(ancestor, descendant, distance) for every pair of a lineage that never ends, on the circle or below it.
+
+    Each ancestor counts once, at its smallest distance, within one turn of the circle.
+    """
+    return _pairs(resolved, "around")
 
 
 def cut_points(sessions: DataFrame, messages: DataFrame) -> DataFrame:

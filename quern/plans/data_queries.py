@@ -21,6 +21,11 @@ def p1_descendants(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.descendants(hierarchy.resolve(table(spark, sf, "sessions"), "id", "parent_session_id", paths=True))
 
 
+def p1_circle_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    """What p1_descendants leaves out by its SQL: the pairs of lineages that never end."""
+    return hierarchy.circle_descendants(hierarchy.resolve(table(spark, sf, "sessions"), "id", "parent_session_id", paths=True))
+
+
 def p1_cut_points(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.cut_points(table(spark, sf, "sessions"), table(spark, sf, "messages"))
 
@@ -52,7 +57,7 @@ def p7_survivors(spark: SparkSession, sf: str) -> DataFrame:
     return upsert.deduplicate(table(spark, sf, "messages")).select("session_id", "message_key", "delivery_id", "delivered_at", "role", "timestamp").withColumn("delivered_at", F.col("delivered_at").cast("timestamp_ntz"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_cut_points, p3_found, p3_unified, p5_found, p7_found, p7_survivors)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_circle_descendants, p1_cut_points, p3_found, p3_unified, p5_found, p7_found, p7_survivors)}
 
 _WALK = """
 WITH RECURSIVE named AS (
@@ -76,6 +81,8 @@ ORACLES = {
     "p1_paths": _WALK + "SELECT id AS session_id, root AS root_session_id, depth, path, loops AS is_cycle FROM solved",
     "p1_descendants": _WALK + """SELECT a.ancestor, s.id AS descendant, a.distance::BIGINT AS distance FROM solved s,
         LATERAL (SELECT unnest(s.trail) AS ancestor, generate_subscripts(s.trail, 1) - 1 AS distance) a WHERE NOT s.loops AND a.distance > 0""",
+    "p1_circle_descendants": _WALK + """SELECT a.ancestor, s.id AS descendant, min(a.distance)::BIGINT AS distance FROM solved s,
+        LATERAL (SELECT unnest(s.trail) AS ancestor, generate_subscripts(s.trail, 1) - 1 AS distance) a WHERE s.loops AND a.ancestor <> s.id GROUP BY a.ancestor, s.id""",
     "p1_cut_points": """
 WITH s AS (SELECT DISTINCT id, CASE WHEN trim(parent_session_id) <> '' THEN parent_session_id END AS parent, CASE WHEN trim(parent_message_id) <> '' THEN lower(trim(parent_message_id)) END AS cut FROM sessions WHERE id IS NOT NULL)
 SELECT s.id AS session_id, s.cut AS cut_point, CASE WHEN cut IS NULL THEN 'none' WHEN parent IS NULL THEN 'no_parent'

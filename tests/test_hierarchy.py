@@ -86,3 +86,18 @@ def ring(name, n, shift=0):
 ])
 def test_circles_have_one_root(spark, rows):
     assert lineage(spark, rows) == brute(rows)
+
+
+def test_descendants_of_circles_and_of_what_hangs_below(spark):
+    rows = [*ring("c", 5), ("x", "c03", 0), ("y", "x", 0), ("leaf", "y", 0), ("s", "s", 0), ("u", "s", 0), ("r", None, 0), ("v", "r", 0)]
+    full = hierarchy.resolve(spark.createDataFrame(rows, SCHEMA), "id", "parent_session_id", paths=True)
+    got = [tuple(r) for r in hierarchy.circle_descendants(full).collect()]
+    parent, wanted = {i: p for i, p, _ in rows}, set()
+    for i in set(parent) - {"r", "v"}:
+        seen, at = [i], parent[i]
+        while at not in seen:
+            seen.append(at)
+            wanted.add((at, i, len(seen) - 1))
+            at = parent[at]
+    assert len(got) == len(set(got)) and set(got) == wanted and ("c02", "leaf", 7) in wanted
+    assert [tuple(r) for r in hierarchy.descendants(full).collect()] == [("r", "v", 1)]
