@@ -13,7 +13,7 @@ theme names, decorators). The seed is fixed, so every task has the same model.
 
 The dictionary is the vocabulary of a public tokenizer (a path).
 
-Defined results: NULL and blank texts mention nobody; texts of any length are read whole;
+Defined results: NULL and blank texts mention nobody; every other text is read by the model, whole at any length;
 repeated rows give one row; a login in a remote, command or connection string is no email;
 a town without a street is no address; a name inside an email address is none.
 """
@@ -71,9 +71,6 @@ _BEHIND = {k: frozenset(v.split(",")) for k, v in _BEHIND.items()}
 _AGAINST = frozenset(_AGAINST.split(","))
 _WORD_BEFORE = re.compile(r"([^\W\d_]+)[\s\"'`(<\[:=,.|>*-]*$")
 _WORD_BEHIND = re.compile(r"^[\s\"'`)>\],:;.|]*([^\W\d_]+)")
-#: A text without any of these, and without a capitalised word outside the dictionary, is passed over.
-_TRIGGER = re.compile(r"@|\((?:at|AT)\)|\[at\]|\sdot\s|\+\d|\(\d{3}\)|\d{2}[ .-]\d{2,4}[ .-]\d|\d ext|\b(?:[Dd]r|[Mm]rs?|[Mm]s|[Pp]rof|Frau|Herr)\b|SSN|DNI|passport|licen[cs]e|insurance|Steuer|\d,? (?:[A-Z]\w+ ){1,3}(?:St|Ave|Lane|Rd|Road|Close)|\d,? rue |straße \d|Calle ")
-_CAPITAL = re.compile(r"(?<![\w./@#$%+=-])[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]{2,}|(?<![A-ZÀ-ÖØ-Þ])[A-ZÀ-ÖØ-Þ]{4,40} [A-Z][a-z]+|\b[A-Z]\. [A-Z][a-z]+")
 
 
 @functools.cache
@@ -81,12 +78,6 @@ def _words(vocabulary: str) -> frozenset[str]:
     return frozenset(dictionary(vocabulary)) | {"todo", "makefile", "dockerfile", "github", "json", "yaml", "http", "https", "readme"}
 
 
-def worth_reading(text: str, known: frozenset[str]) -> bool:
-    if _TRIGGER.search(text):
-        return True
-    return any(" " in w or w.lower() not in known for w in _CAPITAL.findall(text))
-
-
 Segment = tuple[int, int, str, tuple[str, ...]]
 
 
@@ -352,7 +343,7 @@ def train(vocabulary: str = VOCABULARY, sentences: int = 6000, epochs: int = 4,
 
 
 def mentions(text: str, weights: dict[str, float], known: frozenset[str]) -> list[tuple[int, int, str]]:
-    if not text or not worth_reading(text, known):
+    if not text:
         return []
     return [s[:3] for s in decode(segments(text, known), weights)]
 

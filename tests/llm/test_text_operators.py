@@ -103,6 +103,11 @@ def test_people_are_told_from_look_alikes(model):
     assert {t: k for t, k in got.items() if k != PEOPLE[t]} == {}
 
 
+@pytest.mark.parametrize("text, kind", [("Passport: K1234567", "id_number"), ("tax id 92823901590", "id_number"), ("social security number 932417082", "id_number"), ("NIE X1234567L", "id_number"), ("pasaporte K1234567", "id_number"), ("SIN 932417082", "id_number"), ("Hi Grace, could you look at this?", "name"), ("deliver to 12 Oak Drive today", "address")])
+def test_every_text_is_read_by_the_model(model, text, kind):
+    assert {k for *_, k in pii.mentions(text, *model)} == {kind}
+
+
 def test_held_out_generated_sentences(model):
     weights, known = model
     maker = pii._Maker(99, known)
