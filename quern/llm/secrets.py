@@ -52,7 +52,8 @@ _FORMAT = re.compile(
     r"(?<![A-Za-z0-9_-])(?:gh[pousr]_[A-Za-z0-9]{12,}|github_pat_\w{20,}|glpat-[\w-]{16,}|xox[abeprs]-[A-Za-z0-9-]{16,}|sk-[A-Za-z0-9_-]{20,}|[sr]k_(?:live|test)_[A-Za-z0-9]{12,}|npm_[A-Za-z0-9]{20,}|pypi-[\w-]{30,}|A[KS]IA[A-Z0-9]{16}|AIza[\w-]{30,}|eyJ[\w-]{8,}\.eyJ[\w-]{6,}\.[\w-]{6,})"
 )
 _USERINFO = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]{1,20}://(?P<user>[^\s:/@\"'<>]*):(?P<value>[^\s@/\"'<>]+)@")
-_MYSQL = re.compile(r"\b(?:mysql|mysqldump|mysqladmin|mariadb|sshpass)\b[^\n;|]{0,400}?\s-p(?P<value>[^\s\"';|]+)")
+#: Steps through command lines: a client's name, the end of its line (one that is not continued), a password.
+_MYSQL = re.compile(r"""\b(?P<command>mysql|mysqldump|mysqladmin|mariadb|sshpass)\b|(?P<end>[;|]|(?<!\\)\n(?!-p[^\s"';|]))|(?<=\s)-p(?P<value>[^\s"';|]+)""")
 #: What a key's name must contain, and what names are made of; a name is read at most NAME characters to either side.
 _KEYWORD = re.compile(r"pass|pwd|secret|token|key|auth|credential|kennwort|contrase|\bsig", re.I)
 NAME = 64
@@ -138,12 +139,31 @@ def names_secret(key: str, vocabulary: str = VOCABULARY) -> bool:
     return words[-1] == "key" and any(w in _KEY_WORDS for w in words[:-1])
 
 
+def residual(text: str, vocabulary: str = VOCABULARY) -> tuple[float, int]:
+    """Bits and unexplained characters as ``segment`` finds them, in little memory for a text of any length."""
+    words, low = dictionary(vocabulary), text.lower()
+    bits, plain = [0.0], [0]  # of the ends from ``first`` on; no word is longer than 18
+    first = 0
+    for end in range(1, len(low) + 1):
+        best, count = bits[-1] + _letter_bits(low[end - 1]), plain[-1] + 1
+        for start in range(max(0, end - 18), end - 1):
+            cost = words.get(low[start:end])
+            if cost is not None and bits[start - first] + cost < best:
+                best, count = bits[start - first] + cost, plain[start - first]
+        bits.append(best)
+        plain.append(count)
+        if len(bits) > 4096:
+            first += len(bits) - 18
+            bits, plain = bits[-18:], plain[-18:]
+    return bits[-1], plain[-1]
+
+
 def is_secret(value: str, vocabulary: str = VOCABULARY) -> bool:
     """Is the literal assigned to a secret's name a real value?"""
     value = value.strip()
     if len(value) < 6 or _PLACEHOLDER.search(value) or _HASHED.match(value) or len(set(value)) < 4:
         return False
-    _, bits, plain = segment(value[:256], vocabulary)
+    bits, plain = residual(value, vocabulary)
     marks = sum(c.isdigit() or not c.isalpha() for c in value)
     if marks == 0 and plain < 4:
         return False
@@ -152,6 +172,19 @@ def is_secret(value: str, vocabulary: str = VOCABULARY) -> bool:
     return bits >= LEAST_BITS
 
 
+def _command_passwords(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of what stands behind -p in a database client's command, however many options come before."""
+    inside = False
+    for m in _MYSQL.finditer(text):
+        if m["command"]:
+            inside = True
+        elif m["value"] and inside:
+            yield m.span("value")
+            inside = False
+        elif m["end"]:
+            inside = False
+
+
 def spans(text: str, vocabulary: str = VOCABULARY) -> list[tuple[int, int]]:
     """Non-overlapping spans of credentials in one piece of text."""
     out: list[tuple[int, int]] = []
@@ -164,10 +197,9 @@ def spans(text: str, vocabulary: str = VOCABULARY) -> list[tuple[int, int]]:
     for m in _FORMAT.finditer(text):
         if free(*m.span()) and "xxxx" not in m[0].lower():
             out.append(m.span())
-    for pattern in (_USERINFO, _MYSQL):
-        for m in pattern.finditer(text):
-            if free(*m.span("value")) and is_secret(m["value"], vocabulary):
-                out.append(m.span("value"))
+    for a, b in [*(m.span("value") for m in _USERINFO.finditer(text)), *_command_passwords(text)]:
+        if free(a, b) and is_secret(text[a:b], vocabulary):
+            out.append((a, b))
     done = 0
     for m in _KEYWORD.finditer(text):
         if m.start() < done:

@@ -45,6 +45,17 @@ def test_literals_in_pieces_are_masked_whole():
         assert "ghp_" not in masked and "xig0" not in masked and "next = 1" in masked
 
 
+def test_long_literals_and_long_commands_are_read_whole():
+    letters = "".join(chr(97 + (i * i * 7 + i * 3 + i // 5) % 26) + ("!" if i % 4 == 0 else "") for i in range(800))
+    assert secrets.spans(f'password = "{letters}"') == [(12, 12 + len(letters))]
+    options = "mysql " + "--ignore-table=lanes.trips " * 40
+    for command in (options + "-pqImPnDAJXYFwLm lanes", options + "\\\n  -pqImPnDAJXYFwLm lanes"):
+        assert [command[a:b] for a, b in secrets.spans(command)] == ["qImPnDAJXYFwLm"]
+    assert not secrets.spans("mysql lanes; tool -pqImPnDAJXYFwLm") and not secrets.spans("mysql lanes\ntool -pqImPnDAJXYFwLm")
+    for text in ("harborTundra9526!", "x" * 30 + "lanes", "pass" * 2000 + "9x", letters):
+        assert secrets.residual(text) == secrets.segment(text)[1:]
+
+
 def test_find_on_rows(spark):
     rows = [(SECRET[0], None), (None, json.dumps([{"text": SECRET[1]}])), (CLEAN[0], '"broken ' + SECRET[3]), (None, None), ("x " * 200_000 + SECRET[4], None)]
     df = parts(spark, rows)
