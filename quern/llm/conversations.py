@@ -2,17 +2,19 @@
 
 Messages arrive in export fragments (the rows of one session in one batch) that may overlap.
 
-1. ``fragments`` gives every copy of a message a hash of its identity and summarises each
-   fragment by its size and its first and last message.
+1. ``fragments`` summarises each fragment by its size and its first and last message; copies
+   of a message are known by its identity (session and id).
 2. ``overlaps`` finds suffix-prefix matches. Only messages that were delivered in more than
-   one fragment can link two; copies of one message are chained in the order of their
-   fragments, so k copies give k - 1 links, never all pairs. The shared stretch must be the
-   end of one fragment and the beginning of the other (or one lies inside the other).
+   one fragment can link two. The contigs need representative links only: copies of one message
+   are chained in the order of their fragments, k copies give k - 1 links. With ``every`` all
+   pairs that share a message come out. The shared stretch must be the end of one fragment and
+   the beginning of the other (or one lies inside the other).
 3. ``contigs`` merges fragments along unambiguous links (one successor, one predecessor) by
    pointer doubling; a fragment inside another is absorbed by it.
 4. ``assemble`` keeps one copy of each message (the earliest delivery) and puts the contigs of
    a session in order of time, then id; parts follow by ordinal.
-5. ``verdicts`` drops conversations that are empty, broken or miss a reply.
+5. ``verdicts`` drops conversations that are empty, broken or miss a reply. By the data's
+   statement that follows from roles, times and parts alone: no verdict depends on the contigs.
 
 A session of any size is no single task's business: turns are compared within (session, hour)
 blocks and the blocks are combined by their first and last turn.
@@ -74,15 +76,21 @@ def fragments(deliveries: DataFrame) -> DataFrame:
     return deliveries.where("batch_id is not null").groupBy("session_id", "batch_id").agg(F.count_distinct("message_key").alias("size"), F.min(p).alias("head"), F.max(p).alias("tail"))
 
 
-def overlaps(deliveries: DataFrame, kept: DataFrame) -> DataFrame:
+def overlaps(deliveries: DataFrame, kept: DataFrame, every: bool = False) -> DataFrame:
     """(session_id, a, b, shared, kind) for fragments that share messages; kind is ``suffix_prefix``, ``inside`` or ``tangled``.
 
-    ``a`` begins before ``b``; with ``inside`` all of ``b`` lies in ``a``.
+    ``a`` begins before ``b``; with ``inside`` all of ``b`` lies in ``a``. With ``every``
+    each pair that shares a message has a row (k copies of a message make k * (k - 1) / 2 pairs),
+    else only fragments that follow each other among the copies of a message.
     """
     shared = kept.where("first_batch <> last_batch").select(*KEY)
     copies = deliveries.where("batch_id is not null").join(shared, KEY).groupBy(*KEY, "batch_id").agg(F.min("utc_us").alias("utc_us"))
     w = Window.partitionBy(*KEY).orderBy("batch_id")
-    links = copies.withColumn("next", F.lead("batch_id").over(w)).where("next is not null").withColumn("at", _position())
+    if every:
+        chained = copies.join(copies.select(*KEY, F.col("batch_id").alias("next")), KEY).where("batch_id < next")
+    else:
+        chained = copies.withColumn("next", F.lead("batch_id").over(w)).where("next is not null")
+    links = chained.withColumn("at", _position())
     pairs = links.groupBy("session_id", F.col("batch_id").alias("x"), F.col("next").alias("y")).agg(F.count("*").alias("shared"), F.min("at").alias("low"), F.max("at").alias("high"))
     sizes = fragments(deliveries)
     x = sizes.select("session_id", F.col("batch_id").alias("x"), F.struct("size", "head", "tail").alias("fx"))

@@ -77,3 +77,14 @@ def test_fragments_overlap_and_merge(spark):
     kept = conv.survivors(d)
     assert {(r.a, r.b, r.shared, r.kind) for r in conv.overlaps(d, kept).collect()} == {("b1", "b2", 1, "suffix_prefix"), ("b2", "b3", 1, "inside")}
     assert {r.batch_id: r.contig for r in conv.contigs(d, kept).collect()} == {"b1": "b1", "b2": "b1", "b3": "b1"}
+
+
+def test_every_pair_of_fragments_that_share_a_message(spark):
+    w = World(spark)
+    for batch, keys in {"b1": (1, 2, 3), "b2": (2, 3, 4), "b3": (3, 4, 5)}.items():
+        for n in keys:
+            w.say("s", f"m{n}", "user", t(n), batch=batch)
+    messages, _, _, hosts = w.frames()
+    d = conv.timed(messages, hosts)
+    rows = {(r.a, r.b): (r.shared, r.kind) for r in conv.overlaps(d, conv.survivors(d), every=True).collect()}
+    assert rows == {("b1", "b2"): (2, "suffix_prefix"), ("b2", "b3"): (2, "suffix_prefix"), ("b1", "b3"): (1, "suffix_prefix")}
