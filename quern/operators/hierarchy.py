@@ -7,21 +7,23 @@ seen all of it, which takes the logarithm of the longest circle or way into one.
 
 Only inner nodes (ids that are somebody's parent) take part in the rounds; leaves, mostly
 the great majority, are attached once at the end. Rows that reached their root leave the
-rounds, so a root with a third of all rows below it is never joined again. The last join,
-child to resolved parent, can meet a parent with a huge number of children: parents holding
-more than 1/HOT of all links (there are fewer than HOT of them) are joined by broadcast.
+rounds and are written once, so a root with a third of all rows below it is never joined again.
+A join can meet a node with a huge number of pointers to it, in a round or where leaves are
+attached: nodes holding more than 1/HOT of them (there are fewer than HOT) are joined by broadcast.
 
 Defined results
 * An id may occur in several rows. Its parent is the smallest parent named in any of them;
   NULL, '' and blank parents name none, rows with a NULL id are left out.
 * A parent that is not among the ids ends the lineage below it: its child is a root.
 * Circles, and whatever leads into one: ``depth`` -1, ``root`` the smallest id on the circle,
-  ``path`` NULL. Their ancestors up to one turn of the circle are kept in ``around``, written like a
-  path, each once; no node is its own ancestor.
+  ``path`` NULL. Their ancestors up to one turn of the circle are kept in ``around``, each once; no
+  node is its own ancestor.
+* Ids may hold any character, also the separator of the written path: pairs are read off arrays of ids.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import DataFrame
@@ -40,22 +42,39 @@ def links(rows: DataFrame, node: str = "id", parent: str = "parent_id") -> DataF
     return rows.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("id")).agg(F.min(named).alias("parent"))
 
 
-def _join_parent(children: DataFrame, parents: DataFrame) -> DataFrame:
-    """``children`` (.., parent) left join ``parents`` (parent, ..) with hot parents by broadcast."""
-    counts = children.groupBy("parent").count()
-    total, most = counts.agg(F.sum("count"), F.max("count")).first()
+def _hot(children: DataFrame, key: str) -> tuple[int, int, DataFrame | None]:
+    """Rows, different keys, and the keys that hold more than 1/HOT of all rows (fewer than HOT of them), if there are any."""
+    counts = children.groupBy(key).count()
+    total, different, most = counts.agg(F.sum("count"), F.count("*"), F.max("count")).first()
     bound = max((total or 0) // HOT, 100_000)
-    if (most or 0) <= bound:
-        return children.join(parents, "parent", "left")
-    few = F.broadcast(cut(counts.where(F.col("count") > bound).select("parent"), "hot"))
-    cold = children.join(few, "parent", "left_anti").join(parents, "parent", "left")
-    return cold.unionByName(children.join(few, "parent").join(F.broadcast(parents.join(few, "parent")), "parent", "left"))
+    few = F.broadcast(cut(counts.where(F.col("count") > bound).select(key), "hot")) if (most or 0) > bound else None
+    return total or 0, different, few
+
+
+def _join_on(children: DataFrame, parents: DataFrame, key: str, few: DataFrame | None, how: str = "left") -> DataFrame:
+    """``children`` join ``parents`` on ``key``; rows of the keys in ``few`` meet theirs by broadcast, where they are.
+
+    Without hot keys there is nothing to split off; the rows that come out are the same.
+    """
+    if few is None:
+        return children.join(parents, key, how)
+    cold = children.join(few, key, "left_anti").join(parents, key, how)
+    return cold.unionByName(children.join(few, key).join(F.broadcast(parents.join(few, key)), key, how))
+
+
+def _join_parent(children: DataFrame, parents: DataFrame) -> DataFrame:
+    return _join_on(children, parents, "parent", _hot(children, "parent")[2])
+
+
+_ARRAY = "array<string>"
 
 
 def resolve(rows: DataFrame, node: str = "id", parent: str = "parent_id", paths: bool = False) -> DataFrame:
-    """One row per id: (id, parent, root, depth bigint, is_cycle[, path, around]).
+    """One row per id: (id, parent, root, depth bigint, is_cycle[, path, steps, around]).
 
-    ``parent`` is NULL for roots (also where the named parent is absent); ``around`` where the lineage ends.
+    ``parent`` is NULL for roots (also where the named parent is absent). ``steps`` are the ids from the
+    root to the row's own and ``path`` the same as text; both NULL where the lineage never ends. ``around`` are
+    the ids of such a lineage, NULL where it ends.
     """
     named = cut(links(rows, node, parent), "links")
     ids = named.select(F.col("id").alias("parent"))
@@ -63,58 +82,51 @@ def resolve(rows: DataFrame, node: str = "id", parent: str = "parent_id", paths:
     edges = cut(_join_parent(named.where("parent is not null"), ids.withColumn("there", F.lit(True))).where("there").select("id", "parent"), "edges")
     roots = named.join(edges, "id", "left_anti").select("id")
     inner_ids = edges.select(F.col("parent").alias("id")).distinct()
-    empty_path = F.lit(None).cast("string")
-    # Per inner node: the ancestor reached so far, the steps to it, whether it is a root, and the
-    # smallest id met on the way (excluding the ancestor itself), which names the circle.
+    none = F.lit(None).cast(_ARRAY)
+    own = F.array("id") if paths else none
+    # Per inner node: the ancestor reached so far, the steps to it, whether it is a root, the smallest id met on
+    # the way (excluding the ancestor itself), which names the circle, and the ids from below the ancestor down.
     inner_edges = edges.join(inner_ids, "id", "left_semi")
-    state = (
-        inner_ids.join(inner_edges, "id", "left")
-        .select("id", F.coalesce("parent", "id").alias("anc"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("steps"), F.col("parent").isNull().alias("done"), F.col("id").alias("least"), F.lit(False).alias("lower"), F.when(F.lit(paths) & F.col("parent").isNotNull(), F.col("id")).otherwise(empty_path).alias("trail"))
-    )
-    state = cut(state, "state")
-    left, met, _ = _still_open(state)
-    rounds = math.ceil(math.log2(left + 1)) + 1 if left else 0
-    # Pointers of every inner node are needed in each round; those at a root stay as they are.
-    for _ in range(rounds):
-        right = state.select(F.col("id").alias("anc"), F.col("anc").alias("anc2"), F.col("steps").alias("steps2"), F.col("done").alias("done2"), F.col("least").alias("least2"), F.col("trail").alias("trail2"))
-        moving = state.where(~F.col("done")).join(right, "anc")
-        moved = moving.select(
-            "id", F.col("anc2").alias("anc"), (F.col("steps") + F.col("steps2")).alias("steps"), F.col("done2").alias("done"), F.least("least", "least2").alias("least"), (F.col("least2") < F.col("least")).alias("lower"),
-            F.when(F.lit(paths), F.concat_ws(SEPARATOR, "trail2", "trail")).otherwise(empty_path).alias("trail"),
+    open_ = cut(inner_edges.select("id", F.col("parent").alias("anc"), F.lit(1).cast("bigint").alias("steps"), F.col("id").alias("least"), F.lit(False).alias("lower"), own.alias("trail"), F.lit(False).alias("done")), "open")
+    tops = inner_ids.join(edges, "id", "left_anti").select("id", F.col("id").alias("anc"), F.lit(0).cast("bigint").alias("steps"), F.col("id").alias("least"), F.lit(False).alias("lower"), (F.array().cast(_ARRAY) if paths else none).alias("trail"), F.lit(True).alias("done"))
+    # Resolved rows stay in the tables of the round that resolved them; nothing rewrites them.
+    done = [cut(tops, "done")]
+    left, met, few = _hot(open_, "anc")
+    for _ in range(math.ceil(math.log2(left + 1)) + 1 if left else 0):
+        right = functools.reduce(DataFrame.unionByName, done, open_).select(F.col("id").alias("anc"), F.col("anc").alias("anc2"), F.col("steps").alias("steps2"), F.col("done").alias("done2"), F.col("least").alias("least2"), F.col("trail").alias("trail2"))
+        moved = cut(
+            _join_on(open_, right, "anc", few, "inner").select(
+                "id", F.col("anc2").alias("anc"), (F.col("steps") + F.col("steps2")).alias("steps"), F.least("least", "least2").alias("least"), (F.col("least2") < F.col("least")).alias("lower"),
+                (F.concat("trail2", "trail") if paths else none).alias("trail"), F.col("done2").alias("done"),
+            ), "moved", by="done",
         )
-        state = cut(moved.unionByName(state.where("done")), "state")
-        now, heads, lower = _still_open(state)
+        done.append(moved.where("done"))
+        open_ = moved.where("not done")
+        now, heads, few = _hot(open_, "anc")
         if now == 0:
             break
         # None closed: all open pointers led to open nodes, so none ever will. As many ancestors as before: the
         # pointers only turn on their circles. No id became lower: each has seen the whole circle.
-        if now == left and heads == met and not lower:
+        if now == left and heads == met and open_.where("lower").isEmpty():
             break
         left, met = now, heads
     # A node leading into a circle has an ancestor on it; the ancestor's least id is that of the whole circle.
-    circle = state.where(~F.col("done")).select(F.col("id").alias("anc"), F.col("least").alias("circle"))
+    circle = open_.select(F.col("id").alias("anc"), F.col("least").alias("circle"))
     # Its trail spans the way to the circle and a whole turn: the nearest of each id counts.
-    around = F.when(F.lit(paths), F.array_join(F.reverse(F.array_distinct(F.reverse(F.split("trail", SEPARATOR)))), SEPARATOR)).otherwise(empty_path)
-    stuck = state.where(~F.col("done")).join(circle, "anc", "left").select("id", F.col("circle").alias("root"), F.lit(-1).cast("bigint").alias("depth"), empty_path.alias("path"), around.alias("around"))
-    path_of = F.when(F.lit(paths), F.concat_ws(SEPARATOR, "anc", "trail")).otherwise(empty_path)
-    inner = cut(state.where("done").select("id", F.col("anc").alias("root"), F.col("steps").alias("depth"), path_of.alias("path"), empty_path.alias("around")).unionByName(stuck), "inner")
+    around = F.reverse(F.array_distinct(F.reverse("trail"))) if paths else none
+    stuck = _join_on(open_, circle, "anc", few).select("id", F.col("circle").alias("root"), F.lit(-1).cast("bigint").alias("depth"), none.alias("steps"), around.alias("around"))
+    way = F.concat(F.array("anc"), "trail") if paths else none
+    ended = functools.reduce(DataFrame.unionByName, done).select("id", F.col("anc").alias("root"), F.col("steps").alias("depth"), way.alias("steps"), none.alias("around"))
+    inner = cut(ended.unionByName(stuck), "inner")
     # Leaves hang below inner nodes; inner nodes keep what the rounds found.
     leaf_edges = edges.join(inner_ids, "id", "left_anti")
     above = inner.withColumnRenamed("id", "parent")
-    leaves = _join_parent(leaf_edges, above).select(
-        "id", "parent", "root", F.when(F.col("depth") < 0, F.lit(-1)).otherwise(F.col("depth") + 1).cast("bigint").alias("depth"),
-        F.when(F.lit(paths) & (F.col("depth") >= 0), F.concat_ws(SEPARATOR, "path", "id")).otherwise(empty_path).alias("path"),
-        F.when(F.lit(paths) & (F.col("depth") < 0), F.concat_ws(SEPARATOR, "around", "id")).otherwise(empty_path).alias("around"),
-    )
-    lonely = roots.join(inner_ids, "id", "left_anti").select("id", F.lit(None).cast("string").alias("parent"), F.col("id").alias("root"), F.lit(0).cast("bigint").alias("depth"), F.when(F.lit(paths), F.col("id")).otherwise(empty_path).alias("path"), empty_path.alias("around"))
-    middle = inner.join(inner_edges, "id", "left").select("id", "parent", "root", "depth", "path", "around")
+    below = lambda c: F.concat(c, F.array("id")) if paths else none
+    leaves = _join_parent(leaf_edges, above).select("id", "parent", "root", F.when(F.col("depth") < 0, F.lit(-1)).otherwise(F.col("depth") + 1).cast("bigint").alias("depth"), below("steps").alias("steps"), below("around").alias("around"))
+    lonely = roots.join(inner_ids, "id", "left_anti").select("id", F.lit(None).cast("string").alias("parent"), F.col("id").alias("root"), F.lit(0).cast("bigint").alias("depth"), own.alias("steps"), none.alias("around"))
+    middle = inner.join(inner_edges, "id", "left").select("id", "parent", "root", "depth", "steps", "around")
     out = leaves.unionByName(lonely).unionByName(middle).withColumn("is_cycle", F.col("depth") < 0)
-    return out if paths else out.drop("path", "around")
-
-
-def _still_open(state: DataFrame) -> tuple[int, int, bool]:
-    """Open nodes, the different ancestors they point to, and whether the last round lowered any ``least``."""
-    return tuple(state.where(~F.col("done")).agg(F.count("*"), F.count_distinct("anc"), F.coalesce(F.max("lower"), F.lit(False))).first())
+    return out.withColumn("path", F.array_join("steps", SEPARATOR)) if paths else out.drop("steps", "around")
 
 
 def lineage(sessions: DataFrame) -> DataFrame:
@@ -123,8 +135,8 @@ def lineage(sessions: DataFrame) -> DataFrame:
     return resolve(sessions, "id", "parent_session_id").join(named, "id", "left_semi").select(F.col("id").alias("session_id"), F.col("root").alias("root_session_id"), "depth")
 
 
-def _pairs(resolved: DataFrame, path: str) -> DataFrame:
-    at = resolved.where(F.col(path).isNotNull() & (F.col("depth") != 0)).select("id", F.split(path, SEPARATOR).alias("steps"))
+def _pairs(resolved: DataFrame, steps: str) -> DataFrame:
+    at = resolved.where(F.col(steps).isNotNull() & (F.col("depth") != 0)).select("id", F.col(steps).alias("steps"))
     return at.select(F.col("id").alias("descendant"), F.posexplode("steps").alias("at", "ancestor"), (F.size("steps") - 1).alias("last")).where("at < last").select("ancestor", "descendant", (F.col("last") - F.col("at")).cast("bigint").alias("distance"))
 
 
@@ -135,7 +147,7 @@ def descendants(resolved: DataFrame) -> DataFrame:
     join over a whole tree is needed. Lineages that never end have no path and no rows here:
     theirs are in ``circle_descendants``, and both together are the whole closure.
     """
-    return _pairs(resolved, "path")
+    return _pairs(resolved, "steps")
 
 
 def circle_descendants(resolved: DataFrame) -> DataFrame:

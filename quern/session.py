@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,18 +32,40 @@ def get_session(app: str = "quern", **conf: str) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one table of a data directory; a file and a directory of files are alike."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once a Spark application, so they need no install and no PYTHONPATH."""
+    context = spark.sparkContext
+    if getattr(context, "_quern_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="quern-ship-")  # on the driver only: Spark serves the archive to the workers
+    archive = f"{folder}/quern.zip"
+    with zipfile.PyZipFile(archive, "w") as z:
+        z.writepy(here)
+        for name in sorted(os.listdir(here)):
+            if os.path.isfile(f"{here}/{name}/__init__.py"):
+                z.writepy(f"{here}/{name}", "quern")
+    context.addPyFile(archive)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context._quern_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests,
-    a laptop) a private folder is made and removed again at exit.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset a private folder is
+    made and removed again at exit, in local mode only: on a cluster each executor would
+    write to a disk of its own, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = spark.conf.get("quern.private.dir", None)
     if not own:
         path = tempfile.mkdtemp(prefix="quern-")
@@ -52,19 +75,33 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def run_dir(spark: SparkSession) -> str:
+    """Folder of this application's intermediate tables; the file system deletes it when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/quern-{spark.sparkContext.applicationId}-{os.getpid()}"
+    if spark.conf.get("quern.run.dir", None) != path:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
+        spark.conf.set("quern.run.dir", path)
+    return path
+
+
 def fresh_path(spark: SparkSession, label: str = "cut") -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/quern-{label}-{os.getpid()}-{uuid.uuid4().hex}"
+    """A path in the run's folder that nothing else uses."""
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+def cut(df: DataFrame, label: str = "cut", by: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This is how lineage is cut: the files outlive any executor, and parquet keeps them
-    small. Column names must be unique.
+    small. Column names must be unique. ``by`` names a column of few values whose rows go to
+    folders of their own, so a filter on it reads no others.
     """
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

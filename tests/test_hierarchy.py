@@ -88,6 +88,26 @@ def test_circles_have_one_root(spark, rows):
     assert lineage(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("n", (4, 7, 9))
+def test_bare_circles(spark, n):
+    shuffled = random.Random(n).sample("abcdefghi"[:n], n)
+    circle = [(x, shuffled[(i + 1) % n], 0) for i, x in enumerate(shuffled)]
+    assert lineage(spark, circle) == brute(circle)
+
+
+def test_ids_that_hold_the_separator(spark):
+    rows = [("a > b", None, 0), ("c", "a > b", 0), ("a", None, 0), ("x > y", "x > y", 0), ("z", "x > y", 0)]
+    full = hierarchy.resolve(spark.createDataFrame(rows, SCHEMA), "id", "parent_session_id", paths=True)
+    assert [tuple(r) for r in hierarchy.descendants(full).collect()] == [("a > b", "c", 1)]
+    assert [tuple(r) for r in hierarchy.circle_descendants(full).collect()] == [("x > y", "z", 1)]
+
+
+def test_hot_hub_below_the_root(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "max", lambda *_: 50, raising=False)
+    rows = [("r", None, 0), ("hub", "r", 0), *[(f"m{i:03d}", "hub", 0) for i in range(150)], *[(f"l{i:03d}", f"m{i:03d}", 0) for i in range(150)]]
+    assert lineage(spark, rows) == brute(rows)
+
+
 def test_descendants_of_circles_and_of_what_hangs_below(spark):
     rows = [*ring("c", 5), ("x", "c03", 0), ("y", "x", 0), ("leaf", "y", 0), ("s", "s", 0), ("u", "s", 0), ("r", None, 0), ("v", "r", 0)]
     full = hierarchy.resolve(spark.createDataFrame(rows, SCHEMA), "id", "parent_session_id", paths=True)
