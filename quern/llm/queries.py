@@ -50,15 +50,26 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill_report(p8_packed(spark, sf), table(spark, sf, "packing_jobs"))
 
 
+def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, sf, "mix_targets")
+    return mixing.membership(table(spark, sf, "documents"), targets), targets
+
+
 def p9_drawn(spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.draw(mixing.membership(table(spark, sf, "documents")), table(spark, sf, "mix_targets")).select("mix_name", "doc_id", "source", "n_tokens", "copies")
+    return mixing.draw(*_mix(spark, sf)).select("mix_name", "doc_id", "source", "n_tokens", "copies")
 
 
 def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
-    members, targets = mixing.membership(table(spark, sf, "documents")), table(spark, sf, "mix_targets")
+    members, targets = _mix(spark, sf)
     return mixing.report(cut(mixing.draw(members, targets), "drawn"), members, targets)
 
 
+def p9_posteriors(spark: SparkSession, sf: str) -> DataFrame:
+    """What the source classifier says of every document, beside the source it names."""
+    documents = table(spark, sf, "documents")
+    return documents.select("doc_id", "source").join(mixing.posteriors(documents, table(spark, sf, "mix_targets")), "doc_id")
+
+
 def _subject_tables(spark: SparkSession, sf: str) -> list[DataFrame]:
     return [table(spark, sf, t) for t in ("documents", "doc_labels", "subjects")]
 
@@ -71,5 +82,5 @@ def p10_composition(spark: SparkSession, sf: str) -> DataFrame:
     return subjects.composition(*_subject_tables(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p2_fragments, p4_found, p4_redacted, p6_found, p6_redacted, p8_packed, p8_fill, p9_drawn, p9_shares, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p2_fragments, p4_found, p4_redacted, p6_found, p6_redacted, p8_packed, p8_fill, p9_drawn, p9_shares, p9_posteriors, p10_found, p10_composition)}
 ORACLES: dict[str, str] = {}

@@ -1,7 +1,7 @@
 """Subject areas of documents: naive Bayes from a labelled sample, refined by EM, calibrated.
 
 * Every document is cut into sentences; their words and word pairs are hashed to ``FEATURES``
-  numbers once and kept as a table.
+  numbers once and kept as a table of blocks, each sentence once a block however often it is said there.
 * Complement naive Bayes on the labelled documents gives the first weights: a subject's words
   are weighed against the words of everything else.
 * Expectation-maximisation over all documents: each sentence belongs to one subject or to none
@@ -9,7 +9,7 @@
   mixture of them; labelled documents may only use their labels. One pass is one job over all
   documents, and what comes back is a table of at most FEATURES x classes sums.
 * A document's score for a subject is the expected share of its sentences. Shares are
-  calibrated by logistic regression on the labelled documents into independent posteriors.
+  calibrated into independent posteriors, one curve a subject, on labelled documents held out of the fit.
 
 Bounds: the model has FEATURES x (subjects + 1) numbers whatever the corpus; the calibration
 uses at most ``SAMPLE`` labelled documents (chosen by hash); all counts, EM passes and
@@ -54,91 +54,143 @@ def sentences(text: str) -> list[str]:
     return [s for s in _END.split(body) if s and _WORD.search(s)]
 
 
-def features(sentence: str) -> list[int]:
-    words = _WORD.findall(sentence.lower())
-    pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
-    return [xxhash.xxh32_intdigest(w) % FEATURES for w in (*words, *pairs)]
+class _Numbers(dict):
+    """Word -> 32-bit hash, remembered while there is room."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        out = self[word] = xxhash.xxh32_intdigest(word)
+        return out
+
+
+_NUMBERS = _Numbers()
+
+
+def numbered(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of sentences in small letters, one sentence after the other, and how many each has: its words and its word pairs."""
+    ids: list[int] = []
+    sizes = np.zeros(len(parts), np.int64)
+    for i, s in enumerate(parts):
+        words = _WORD.findall(s)
+        sizes[i] = len(words)
+        ids.extend(map(_NUMBERS.__getitem__, words))
+    word = np.array(ids, np.uint64)
+    sentence = np.repeat(np.arange(len(parts)), sizes)
+    same = sentence[1:] == sentence[:-1]
+    pair = ((word[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (word[1:] * np.uint64(0xC2B2AE3D27D4EB4F)))[same]
+    out = np.concatenate([word, pair >> np.uint64(40)]) % np.uint64(FEATURES)
+    owner = np.concatenate([sentence, sentence[1:][same]])
+    order = np.argsort(owner, kind="stable")
+    return out[order].astype(np.int32), np.bincount(owner, minlength=len(parts)).astype(np.int32)
+
+
+def hashed(parts: list[str]) -> np.ndarray:
+    """Features of all sentences of a text together."""
+    return numbered([s.lower() for s in parts])[0]
+
+
+#: A block holds at most so many documents; it is closed earlier when its sentences have so many letters.
+BLOCK, LETTERS = 512, 4_000_000
+_BLOCK = "doc_ids array<bigint>, sizes array<int>, sentence array<int>, features array<int>, widths array<int>, labels array<array<int>>, tongues array<int>"
+_ARROW = pa.schema([("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("sentence", pa.list_(pa.int32())), ("features", pa.list_(pa.int32())), ("widths", pa.list_(pa.int32())), ("labels", pa.list_(pa.list_(pa.int32()))), ("tongues", pa.list_(pa.int32()))])
 
 
 def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, list[int]] = {}
+    """Blocks of documents in which a sentence that occurs several times has its features written once."""
+    docs: list[tuple] = []
+    number: dict[tuple[int, str], int] = {}
+    sentence: list[int] = []
+    letters = 0
+
+    def close() -> pa.RecordBatch:
+        features, widths = numbered([s for _, s in number])
+        row = [[d[0] for d in docs], [d[1] for d in docs], sentence, features, widths, [d[2] for d in docs], [d[3] for d in docs]]
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _ARROW, strict=True)], schema=_ARROW)
+
     for batch in batches:
-        docs = []
-        for text in batch.column(1).to_pylist():
-            rows = []
-            for s in sentences(text):
-                f = known.get(s)
-                if f is None:
-                    if len(known) > 20_000:
-                        known.clear()
-                    f = known[s] = features(s)
-                rows.append(f)
-            docs.append(rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(docs, pa.list_(pa.list_(pa.int32()))), batch.column(2), batch.column(3)], names=["doc_id", "sentences", "labels", "tongue"])
+        for doc, text, labels, tongue in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = sentences(text.lower())
+            sentence += [number.setdefault((tongue, s), len(number)) for s in own]
+            docs.append((doc, len(own), labels, tongue))
+            letters += len(text)
+            if len(docs) == BLOCK or letters > LETTERS:
+                yield close()
+                docs, number, sentence, letters = [], {}, [], 0
+    if docs:
+        yield close()
 
 
 def prepare(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> DataFrame:
-    """(doc_id, sentences array<array<int>>, labels array<int>, tongue int); labels NULL where a document is not labelled."""
+    """Blocks of documents: ids, sentences per document, the sentences as numbers into the block's different ones, the features
+    of those, labels (NULL where a document is not labelled) and language groups."""
     tongue = F.pmod(F.xxhash64(F.lower(F.substring(F.coalesce("lang", F.lit("")), 1, 2))), F.lit(LANGUAGES)).cast("int")
     number = F.create_map(*[x for i, s in enumerate(subjects) for x in (F.lit(s), F.lit(i))])
     own = labels.where(F.col("subject").isin(subjects)).groupBy("doc_id").agg(F.sort_array(F.collect_set(number[F.col("subject")])).alias("labels"))
     texts = spread(documents.where("text is not null and doc_id is not null").select("doc_id", "text", tongue.alias("tongue")))
     rows = texts.join(own, "doc_id", "left").select("doc_id", "text", "labels", "tongue")
-    return cut(rows.mapInArrow(_tokenise, "doc_id bigint, sentences array<array<int>>, labels array<int>, tongue int"), "sentences")
+    return cut(rows.mapInArrow(_tokenise, _BLOCK), "sentences")
 
 
-#: Documents handled at once; the working arrays are a few megabytes whatever the size of Arrow's batches.
-CHUNK = 256
+#: One labelled document in so many is held out of the fit and kept for the calibration, chosen by its number's hash.
+HELD = 5
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _is_held(doc: int) -> bool:
+    return xxhash.xxh32_intdigest(str(doc)) % HELD == 0
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
     for batch in batches:
-        for at in range(0, batch.num_rows, CHUNK):
-            yield batch.slice(at, CHUNK)
-
-
-class _Batch:
-    """One Arrow batch as flat arrays: features, their sentence, the sentences' document."""
-
-    def __init__(self, batch: pa.RecordBatch):
-        outer = batch.column(1)
-        inner = outer.flatten()
-        per_doc = np.diff(outer.offsets.to_numpy())
-        per_sentence = np.diff(inner.offsets.to_numpy()) if len(inner) else np.zeros(0, np.int64)
-        self.n = batch.num_rows
-        self.features = inner.flatten().to_numpy(zero_copy_only=False).astype(np.int64) if len(inner) else np.zeros(0, np.int64)
-        self.sentence_doc = np.repeat(np.arange(self.n), per_doc)
-        self.feature_sentence = np.repeat(np.arange(len(per_sentence)), per_sentence)
-        self.sizes = per_doc
-        self.labels = batch.column(2).to_pylist()
-        self.tongue = batch.column(3).to_numpy(zero_copy_only=False)
-        self.feature_doc = self.sentence_doc[self.feature_sentence]
-
-    def sums(self, values: np.ndarray, index: np.ndarray, n: int) -> np.ndarray:
-        out = np.zeros((n, values.shape[1]))
-        np.add.at(out, index, values) if len(index) < 1000 else out.__iadd__(np.stack([np.bincount(index, values[:, c], n) for c in range(values.shape[1])], axis=1))
+        for i in range(batch.num_rows):
+            yield _Block(batch, i)
+
+
+class _Block:
+    """One block as flat arrays. ``labels`` are those the fit may use; ``told`` all of them."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int):
+        at = lambda c: batch.column(c)[i].values.to_numpy(zero_copy_only=False)
+        self.docs, self.sizes, self.sentence, self.features, self.widths, self.tongue = at(0), at(1), at(2), at(3), at(4), at(6)
+        self.told = batch.column(5)[i].as_py()
+        self.labels = [None if own is None or _is_held(doc) else own for doc, own in zip(self.docs.tolist(), self.told, strict=True)]
+        self.n = len(self.docs)
+        self.sentence_doc = np.repeat(np.arange(self.n), self.sizes)
+        self.starts = np.concatenate([[0], np.cumsum(self.widths)[:-1]]) if len(self.widths) else np.zeros(0, np.int64)
+        # Language of each different sentence: equal sentences of two languages are two.
+        self.kind_tongue = np.zeros(len(self.widths), np.int64)
+        self.kind_tongue[self.sentence] = self.tongue[self.sentence_doc]
+        self.filled = np.flatnonzero(self.sizes)
+        self.doc_starts = (np.cumsum(self.sizes) - self.sizes)[self.filled]
+
+    def per_doc(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.n, values.shape[1]))
+        if len(values):
+            out[self.filled] = np.add.reduceat(values, self.doc_starts, axis=0)
         return out
 
-    def expectation(self, weights: np.ndarray, bias: float = 0.0, inner: int = 4) -> np.ndarray:
-        """Posterior of every sentence over the classes, under each document's own mixture."""
+    def expectation(self, weights: np.ndarray, bias: float = 0.0, free: bool = False, inner: int = 4) -> np.ndarray:
+        """Posterior of every sentence over the classes, under each document's own mixture; labelled documents keep to their labels unless ``free``."""
         classes = weights.shape[1]
-        m = len(self.sentence_doc)
-        scores = self.sums(weights[self.features], self.feature_sentence, m)
-        scores[:, -1] += bias
+        if not len(self.sentence):
+            return np.zeros((0, classes))
+        kinds = np.add.reduceat(weights[self.features], self.starts, axis=0)
+        kinds[:, -1] += bias
+        scores = kinds[self.sentence].astype(np.float64)
         allowed = np.ones((self.n, classes), bool)
-        for d, own in enumerate(self.labels):
+        for d, own in enumerate(self.labels if not free else ()):
             if own is not None:
                 allowed[d, :-1] = False
                 allowed[d, own] = True
         scores[~allowed[self.sentence_doc]] = -1e9
-        scores -= scores.max(axis=1, keepdims=True) if m else 0
+        scores -= scores.max(axis=1, keepdims=True)
         like = np.exp(scores)
         mix = allowed / allowed.sum(axis=1, keepdims=True)
         post = like
         for _ in range(inner):
             post = like * mix[self.sentence_doc]
             post /= np.maximum(post.sum(axis=1, keepdims=True), 1e-300)
-            mix = (self.sums(post, self.sentence_doc, self.n) + 0.05) / (self.sizes[:, None] + 0.05 * classes)
+            mix = (self.per_doc(post) + 0.05) / (self.sizes[:, None] + 0.05 * classes)
         return post
 
 
@@ -149,13 +201,20 @@ class _Sums:
         self.classes = classes
         self.table = np.zeros((FEATURES + LANGUAGES, classes + LANGUAGES))
 
-    def add(self, b: _Batch, weights: np.ndarray) -> None:
-        """``weights``: what each class gets of each feature occurrence."""
-        tongue = b.tongue[b.feature_doc]
+    def add(self, b: _Block, weights: np.ndarray) -> None:
+        """``weights``: what each class gets of each sentence (and so of each of its features)."""
+        if not len(b.sentence):
+            return
+        order = np.argsort(b.sentence, kind="stable")
+        held, first = np.unique(b.sentence[order], return_index=True)
+        kinds = np.zeros((len(b.widths), self.classes))
+        kinds[held] = np.add.reduceat(weights[order], first, axis=0)
+        kind = np.repeat(np.arange(len(b.widths)), b.widths)
         for c in range(self.classes):
-            self.table[:FEATURES, c] += np.bincount(b.features, weights[:, c], FEATURES)
-            self.table[FEATURES:, c] += np.bincount(tongue, weights[:, c], LANGUAGES)
-        total = weights.sum(axis=1)
+            if kinds[:, c].any():
+                self.table[:FEATURES, c] += np.bincount(b.features, kinds[kind, c], FEATURES)
+                self.table[FEATURES:, c] += np.bincount(b.kind_tongue, kinds[:, c] * b.widths, LANGUAGES)
+        total, tongue = kinds.sum(axis=1)[kind], b.kind_tongue[kind]
         for t in np.unique(tongue):
             at = tongue == t
             self.table[:FEATURES, self.classes + t] += np.bincount(b.features[at], total[at], FEATURES)
@@ -201,17 +260,16 @@ def fit(prepared: DataFrame, n_subjects: int, passes: int = PASSES) -> np.ndarra
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums(n_subjects)
-        for batch in _chunks(batches):
-            b = _Batch(batch)
+        for b in _blocks(batches):
             own = np.zeros((b.n, n_subjects))
             for d, labels in enumerate(b.labels):
                 if labels:
                     own[d, labels] = 1 / len(labels)
-            sums.add(b, own[b.feature_doc])
+            sums.add(b, own[b.sentence_doc])
         yield sums.emit()
 
     weights = np.zeros((FEATURES, classes), np.float32)
-    counts, chance = _collect(prepared.where("labels is not null").mapInArrow(labelled, narrow), n_subjects)
+    counts, chance = _collect(prepared.mapInArrow(labelled, narrow), n_subjects)
     weights[:, :-1] = complement_weights(counts, chance)
     # Words well known from labelled documents can only speak for subjects they speak for there;
     # this keeps a class from drifting onto phrases that every document uses.
@@ -224,9 +282,8 @@ def fit(prepared: DataFrame, n_subjects: int, passes: int = PASSES) -> np.ndarra
 
         def maximise(batches: Iterator[pa.RecordBatch], shared=shared, bias=bias) -> Iterator[pa.RecordBatch]:
             sums = _Sums(classes)
-            for batch in _chunks(batches):
-                b = _Batch(batch)
-                sums.add(b, b.expectation(shared.value, bias)[b.feature_sentence])
+            for b in _blocks(batches):
+                sums.add(b, b.expectation(shared.value, bias))
             yield sums.emit()
 
         weights, bias = log_ratios(*_collect(prepared.mapInArrow(maximise, schema), classes)).astype(np.float32), 0.0
@@ -235,58 +292,60 @@ def fit(prepared: DataFrame, n_subjects: int, passes: int = PASSES) -> np.ndarra
     return weights
 
 
-def shares(prepared: DataFrame, weights: np.ndarray, use_labels: bool = False) -> DataFrame:
-    """(doc_id, labels, shares array<double>): expected share of each subject in each document's sentences."""
+def shares(prepared: DataFrame, weights: np.ndarray) -> DataFrame:
+    """(doc_id, labels, held, shares array<double>, n_sentences): expected share of each subject in each document's sentences, labels aside."""
     shared = prepared.sparkSession.sparkContext.broadcast(weights)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _chunks(batches):
-            b = _Batch(batch)
-            own = b.labels
-            if not use_labels:
-                b.labels = [None] * b.n
-            post = b.expectation(shared.value)
-            share = b.sums(post, b.sentence_doc, b.n)[:, :-1] / np.maximum(b.sizes, 1)[:, None]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32())), pa.array(list(share), pa.list_(pa.float64())), pa.array(b.sizes, pa.int64())], names=["doc_id", "labels", "shares", "n_sentences"])
+        for b in _blocks(batches):
+            share = b.per_doc(b.expectation(shared.value, free=True))[:, :-1] / np.maximum(b.sizes, 1)[:, None]
+            held = [own is not None and _is_held(doc) for doc, own in zip(b.docs.tolist(), b.told, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(b.docs), pa.array(b.told, pa.list_(pa.int32())), pa.array(held), pa.array(list(share), pa.list_(pa.float64())), pa.array(b.sizes, pa.int64())], names=["doc_id", "labels", "held", "shares", "n_sentences"])
+
+    return prepared.mapInArrow(task, "doc_id bigint, labels array<int>, held boolean, shares array<double>, n_sentences bigint")
+
 
-    return prepared.mapInArrow(task, "doc_id bigint, labels array<int>, shares array<double>, n_sentences bigint")
+def _cut(x: np.ndarray, y: np.ndarray, prior: float, width: float) -> float:
+    """Share that tells labels from the rest with fewest errors; being ``width`` away from ``prior`` weighs as two errors."""
+    order = np.argsort(x)
+    x, y = x[order], y[order]
+    # Cut before each value (and behind the last): what lies below is called no, what lies above yes.
+    errors = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum(~y[::-1])[::-1], [0]])
+    at = np.concatenate([[0.0], (x[1:] + x[:-1]) / 2, [1.0]])
+    # Between two values every cut has the same errors: the one nearest to the prior counts.
+    low, high = np.concatenate([[0.0], x]), np.concatenate([x, [1.0]])
+    at = np.clip(prior, np.minimum(low + (at - low) * 0.1, at), np.maximum(high - (high - at) * 0.1, at))
+    return float(at[np.argmin(errors + 2 * ((at - prior) / width) ** 2)])
 
 
-def calibrate(scored: DataFrame, sample: int = SAMPLE) -> tuple[float, float]:
-    """Slope and offset of the logistic curve from share to posterior, on at most ``sample`` labelled documents.
+def calibrate(scored: DataFrame, n_subjects: int, sample: int = SAMPLE) -> tuple[float, np.ndarray]:
+    """Slope, and per subject the share at which its posterior is one half, from at most ``sample`` held-out labelled documents.
 
-    The curve crosses one half at the share that tells labels from the rest best (by F1), as a
-    plain logistic fit would be pulled away by the many pairs far from the boundary; its slope
-    is the one of largest likelihood.
+    Each subject's logistic curve crosses one half at the share that makes fewest errors on documents the fit has
+    not seen, drawn towards the common cut of all subjects (and that towards a sixth) where there are few of
+    them; the common slope is the one of largest likelihood.
     """
-    rows = scored.where("labels is not null").orderBy(F.xxhash64("doc_id")).limit(sample).select("labels", "shares").toArrow().to_pylist()
-    middle, slope = 1 / 6, 80.0
+    rows = scored.where("held").orderBy(F.xxhash64("doc_id")).limit(sample).select("labels", "shares").toArrow().to_pylist()
+    middle, slope = np.full(n_subjects, 1 / 6), 80.0
     if rows:
-        x = np.array([s for r in rows for s in r["shares"]])
-        y = np.array([i in r["labels"] for r in rows for i in range(len(r["shares"]))])
-        order = np.argsort(-x)
-        hits = np.cumsum(y[order])
-        f1 = 2 * hits / (np.arange(1, len(x) + 1) + max(y.sum(), 1))
-        cuts = x[order]
-        inside = (cuts > 0.08) & (cuts < 0.25)
-        if inside.any() and y.any():
-            best = np.flatnonzero(inside & (f1 >= f1[inside].max() - 1e-9))
-            at = int(best[len(best) // 2])
-            middle = (cuts[at] + (cuts[at + 1] if at + 1 < len(cuts) else cuts[at])) / 2
-            likely = lambda a: np.log1p(np.exp(-np.clip(np.where(y, 1, -1) * a * (x - middle), -40, 40))).sum()
-            slope = min((10.0, 20.0, 40.0, 60.0, 80.0, 120.0, 160.0), key=likely)
-    return float(slope), float(-slope * middle)
+        x = np.array([r["shares"] for r in rows])
+        y = np.array([[i in r["labels"] for i in range(n_subjects)] for r in rows])
+        common = _cut(x.ravel(), y.ravel(), 1 / 6, 0.04)
+        middle = np.array([_cut(x[:, i], y[:, i], common, 0.02) for i in range(n_subjects)])
+        likely = lambda a: np.log1p(np.exp(-np.clip(np.where(y, 1, -1) * a * (x - middle), -40, 40))).sum()
+        slope = min((10.0, 20.0, 40.0, 60.0, 80.0, 120.0, 160.0), key=likely)
+    return slope, middle
 
 
 def assign(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
-    """(doc_id, subject, share, posterior) for every document and subject with posterior above zero share."""
+    """(doc_id, subject, share, posterior, n_sentences) for every document with a text and every subject."""
     names = sorted(r[0] for r in subjects.select("subject").where("subject is not null").distinct().collect())
     prepared = prepare(documents, labels, names)
     scored = cut(shares(prepared, fit(prepared, len(names))), "shares")
-    a, b = calibrate(scored)
-    at = scored.select("doc_id", "n_sentences", F.posexplode("shares").alias("i", "share")).where("share > 0.01")
-    subject = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("i") + 1)
-    return at.select("doc_id", subject.alias("subject"), "share", (1 / (1 + F.exp(-(F.lit(a) * F.col("share") + F.lit(b))))).alias("posterior"), "n_sentences")
+    slope, middle = calibrate(scored, len(names))
+    at = scored.select("doc_id", "n_sentences", F.posexplode("shares").alias("i", "share"))
+    of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("i") + 1)
+    return at.select("doc_id", of(names).alias("subject"), "share", (1 / (1 + F.exp(F.lit(-slope) * (F.col("share") - of([float(m) for m in middle]))))).alias("posterior"), "n_sentences")
 
 
 def found(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ def corpus(spark):
 
 def test_shares_caps_and_absent_sources(spark):
     targets = spark.createDataFrame([("m", "big", 1.0, 2), ("m", "mid", 1.0, 3), ("n", "big", 0.5, 1), ("n", "tiny", 0.5, 2), ("o", "gone", 1.0, 2), ("p", "mid", None, 2)], "mix_name string, source string, target_share double, max_repeats int")
-    members = mixing.membership(corpus(spark))
+    members = mixing.membership(corpus(spark), targets)
     drawn = mixing.draw(members, targets)
     report = {(r.mix_name, r.source): r for r in mixing.report(drawn, members, targets).collect()}
     assert report["m", "big"].actual_share == pytest.approx(0.5, abs=0.01) and report["m", "mid"].actual_share == pytest.approx(0.5, abs=0.01)
@@ -93,15 +93,40 @@ def test_shares_caps_and_absent_sources(spark):
 
 
 def test_missing_sources_are_predicted(spark):
-    rows = [(i, "a" if i % 2 else "b", ("apple pear plum. " if i % 2 else "stone iron gold. ") * 5) for i in range(200)] + [(1000, None, "apple plum pear."), (1001, None, "iron gold.")]
+    rows = [(i, "abc"[i % 3], ("apple pear plum. ", "stone iron gold. ", "river lake sea. ")[i % 3] * 5) for i in range(300)] + [(1000, None, "apple plum pear."), (1001, None, "iron gold."), (1002, None, "apple pear iron gold."), (1003, None, "12 34")]
     d = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
-    got = {r.doc_id: r.group for r in mixing.membership(d).where("doc_id >= 1000").collect()}
-    assert got == {1000: "a:8", 1001: "b:8"}
+    targets = spark.createDataFrame([("m", "a", 1.0, 2), ("m", "b", 1.0, 2)], "mix_name string, source string, target_share double, max_repeats int")
+    members = mixing.membership(d, targets)
+    got = {r.doc_id: r.posterior for r in members.where("doc_id >= 1000").collect()}
+    assert got[1000][0] > 0.9 and got[1001][1] > 0.9 and got[1002][0] == pytest.approx(0.5, abs=0.3) and got[1003] == pytest.approx([1 / 3] * 3, abs=0.01)
+    assert all(sum(p) == pytest.approx(1) for p in got.values())
+    report = {r.source: r for r in mixing.report(mixing.draw(members, targets), members, targets).collect()}
+    assert report["a"].actual_share == pytest.approx(0.5, abs=0.03) and report["b"].available_tokens > 0
+
+
+def test_a_large_document_leaves_no_gap(spark):
+    """One document holds most of a source: the others are repeated instead of falling short."""
+    rows = [(0, "s", "word " * 1500), *[(i, "s", "word " * 25) for i in range(1, 21)], *[(100 + i, "t", "word " * 30) for i in range(60)]]
+    d = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    targets = spark.createDataFrame([("m", "s", 0.4, 5), ("m", "t", 0.6, 2)], "mix_name string, source string, target_share double, max_repeats int")
+    members = mixing.membership(d, targets)
+    for total in (None, 2500.0):
+        drawn = mixing.draw(members, targets, total)
+        report = {r.source: r for r in mixing.report(drawn, members, targets).collect()}
+        assert report["s"].actual_share == pytest.approx(0.4, abs=0.02)
+        assert drawn.where("copies > case when source = 's' then 5 else 2 end").count() == 0
+
+
+def test_a_tiny_source_bounds_the_total(spark):
+    targets = spark.createDataFrame([("m", "big", 0.5, 1), ("m", "mid", 0.4, 1), ("m", "tiny", 0.1, 1), ("m", "gone", 0.3, 9)], "mix_name string, source string, target_share double, max_repeats int")
+    members = mixing.membership(corpus(spark), targets)
+    for r in mixing.report(mixing.draw(members, targets), members, targets).collect():
+        assert r.actual_share == pytest.approx(r.reachable_share, abs=0.01) and r.limited_by == ("absent" if r.source == "gone" else r.limited_by)
 
 
 def test_empty_corpus(spark):
     targets = spark.createDataFrame([("m", "big", 1.0, 2)], "mix_name string, source string, target_share double, max_repeats int")
-    members = mixing.membership(corpus(spark).limit(0))
+    members = mixing.membership(corpus(spark).limit(0), targets)
     drawn = mixing.draw(members, targets)
     assert drawn.count() == 0 and mixing.report(drawn, members, targets).first().actual_share == 0.0
 
