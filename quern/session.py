@@ -46,9 +46,6 @@ def ship(spark: SparkSession) -> None:
     archive = f"{folder}/quern.zip"
     with zipfile.PyZipFile(archive, "w") as z:
         z.writepy(here)
-        for name in sorted(os.listdir(here)):
-            if os.path.isfile(f"{here}/{name}/__init__.py"):
-                z.writepy(f"{here}/{name}", "quern")
     context.addPyFile(archive)
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context._quern_shipped = True
