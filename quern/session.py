@@ -90,15 +90,16 @@ def fresh_path(spark: SparkSession, label: str = "cut") -> str:
     return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str = "cut", by: str | None = None) -> DataFrame:
+def cut(df: DataFrame, label: str = "cut", by: str | None = None, options: dict | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This is how lineage is cut: the files outlive any executor, and parquet keeps them
     small. Column names must be unique. ``by`` names a column of few values whose rows go to
-    folders of their own, so a filter on it reads no others.
+    folders of their own, so a filter on it reads no others; ``options`` go to the writer.
     """
     path = fresh_path(df.sparkSession, label)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    writer = df.write.options(**(options or {}))
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
