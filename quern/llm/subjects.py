@@ -9,7 +9,7 @@
   mixture of them; labelled documents may only use their labels. One pass is one job over all
   documents, and what comes back is a table of at most FEATURES x classes sums.
 * A document's score for a subject is the expected share of its sentences. Shares are
-  calibrated into independent posteriors, one curve a subject, on labelled documents held out of the fit.
+  calibrated into independent posteriors, one curve a subject, on labelled documents each left out of the counts it is judged by.
 
 Bounds: the model has FEATURES x (subjects + 1) numbers whatever the corpus; the calibration
 uses at most ``SAMPLE`` labelled documents (chosen by hash); all counts, EM passes and
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -44,20 +45,28 @@ SUPPORT, TELLING = 5, 0.7
 
 _HEAD = re.compile(r"^[ \t]*(?:#+[^\n]*|(?:>+|[-*+•]|\d{1,4}[.)]|\|)[ \t]*)", re.M)
 _SPEAKER = re.compile(r"^[ \t]*(?:\[[^\]\n]{1,24}\]|[A-Za-z]{2,16}:)[ \t]*", re.M)
-_END = re.compile(r"(?<=[.!?…])[\"'»”)]*\s+|\n+")
-_WORD = re.compile(r"[^\W\d_]{2,}")
+_END = re.compile(r"[.!?…](?P<gap>[\"'»”)]*\s+)|\n+")
+_WORD = re.compile(r"[^\W\d_]{2}")
+_MARK = re.compile(r"[^\w\n\x00-\x7f]+")
+#: Bytes that are no letter become spaces; line ends stay, and so do the bytes of letters beyond ASCII.
+_LETTERS = bytes(i if i >= 128 or i == 10 or chr(i).isalpha() else 32 for i in range(256))
 
 
 def sentences(text: str) -> list[str]:
     """Sentences of a transcript without headings, list marks and speaker names."""
     body = _SPEAKER.sub("", _HEAD.sub("", text))
-    return [s for s in _END.split(body) if s and _WORD.search(s)]
+    out, at = [], 0
+    for m in _END.finditer(body):
+        out.append(body[at : m.start("gap") if m["gap"] else m.start()])
+        at = m.end()
+    out.append(body[at:])
+    return [s for s in out if s and _WORD.search(s)]
 
 
 class _Numbers(dict):
     """Word -> 32-bit hash, remembered while there is room."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > 500_000:
             self.clear()
         out = self[word] = xxhash.xxh32_intdigest(word)
@@ -71,8 +80,10 @@ def numbered(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Features of sentences in small letters, one sentence after the other, and how many each has: its words and its word pairs."""
     ids: list[int] = []
     sizes = np.zeros(len(parts), np.int64)
-    for i, s in enumerate(parts):
-        words = _WORD.findall(s)
+    joined = "\n".join(parts)
+    lines = (joined if joined.isascii() else _MARK.sub(" ", joined)).encode().translate(_LETTERS).split(b"\n") if parts else []
+    for i, line in enumerate(lines):
+        words = [w for w in line.split() if len(w) > 1]
         sizes[i] = len(words)
         ids.extend(map(_NUMBERS.__getitem__, words))
     word = np.array(ids, np.uint64)
@@ -91,7 +102,7 @@ def hashed(parts: list[str]) -> np.ndarray:
 
 
 #: A block holds at most so many documents; it is closed earlier when its sentences have so many letters.
-BLOCK, LETTERS = 512, 4_000_000
+BLOCK, LETTERS = 128, 2_000_000
 _BLOCK = "doc_ids array<bigint>, sizes array<int>, sentence array<int>, features array<int>, widths array<int>, labels array<array<int>>, tongues array<int>"
 _ARROW = pa.schema([("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("sentence", pa.list_(pa.int32())), ("features", pa.list_(pa.int32())), ("widths", pa.list_(pa.int32())), ("labels", pa.list_(pa.list_(pa.int32()))), ("tongues", pa.list_(pa.int32()))])
 
@@ -129,15 +140,8 @@ def prepare(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> Dat
     own = labels.where(F.col("subject").isin(subjects)).groupBy("doc_id").agg(F.sort_array(F.collect_set(number[F.col("subject")])).alias("labels"))
     texts = spread(documents.where("text is not null and doc_id is not null").select("doc_id", "text", tongue.alias("tongue")))
     rows = texts.join(own, "doc_id", "left").select("doc_id", "text", "labels", "tongue")
-    return cut(rows.mapInArrow(_tokenise, _BLOCK), "sentences")
-
-
-#: One labelled document in so many is held out of the fit and kept for the calibration, chosen by its number's hash.
-HELD = 5
-
-
-def _is_held(doc: int) -> bool:
-    return xxhash.xxh32_intdigest(str(doc)) % HELD == 0
+    # Small row groups: a reader holds a whole one, and a row here is a block of documents.
+    return cut(rows.mapInArrow(_tokenise, _BLOCK), "sentences", options={"parquet.block.size": 16 << 20})
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
@@ -147,16 +151,15 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
 
 
 class _Block:
-    """One block as flat arrays. ``labels`` are those the fit may use; ``told`` all of them."""
+    """One block as flat arrays."""
 
     def __init__(self, batch: pa.RecordBatch, i: int):
         at = lambda c: batch.column(c)[i].values.to_numpy(zero_copy_only=False)
         self.docs, self.sizes, self.sentence, self.features, self.widths, self.tongue = at(0), at(1), at(2), at(3), at(4), at(6)
-        self.told = batch.column(5)[i].as_py()
-        self.labels = [None if own is None or _is_held(doc) else own for doc, own in zip(self.docs.tolist(), self.told, strict=True)]
+        self.labels = batch.column(5)[i].as_py()
         self.n = len(self.docs)
         self.sentence_doc = np.repeat(np.arange(self.n), self.sizes)
-        self.starts = np.concatenate([[0], np.cumsum(self.widths)[:-1]]) if len(self.widths) else np.zeros(0, np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.widths)[:-1]]).astype(np.int64) if len(self.widths) else np.zeros(0, np.int64)
         # Language of each different sentence: equal sentences of two languages are two.
         self.kind_tongue = np.zeros(len(self.widths), np.int64)
         self.kind_tongue[self.sentence] = self.tongue[self.sentence_doc]
@@ -252,8 +255,24 @@ def complement_weights(counts: np.ndarray, chance: np.ndarray) -> np.ndarray:
     return np.log((counts + SHRINK * chance) / chance) - np.log((rest + SHRINK * (1 - chance)) / (1 - chance))
 
 
-def fit(prepared: DataFrame, n_subjects: int, passes: int = PASSES) -> np.ndarray:
-    """Feature weights of all classes, the last being none of the subjects."""
+@dataclass
+class Model:
+    """Feature weights of all classes, the last being none of the subjects, and the counts and chances they come from."""
+
+    weights: np.ndarray
+    counts: np.ndarray
+    chance: np.ndarray
+    barred: np.ndarray
+
+    def without(self, features: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Weights of some features as they were had a document with the counts ``own`` of them not been there."""
+        out = log_ratios(np.maximum(self.counts[features] - own, 0), self.chance[features])
+        out[:, :-1][self.barred[features]] = np.minimum(out[:, :-1][self.barred[features]], 0)
+        return out
+
+
+def fit(prepared: DataFrame, n_subjects: int, passes: int = PASSES) -> Model:
+    """Complement naive Bayes on the labelled documents, then ``passes`` of expectation-maximisation over all."""
     classes = n_subjects + 1
     schema = "feature int, " + ", ".join(f"c{c} double" for c in range(classes + LANGUAGES))
     narrow = "feature int, " + ", ".join(f"c{c} double" for c in range(n_subjects + LANGUAGES))
@@ -286,23 +305,50 @@ def fit(prepared: DataFrame, n_subjects: int, passes: int = PASSES) -> np.ndarra
                 sums.add(b, b.expectation(shared.value, bias))
             yield sums.emit()
 
-        weights, bias = log_ratios(*_collect(prepared.mapInArrow(maximise, schema), classes)).astype(np.float32), 0.0
+        counts, chance = _collect(prepared.mapInArrow(maximise, schema), classes)
+        weights, bias = log_ratios(counts, chance).astype(np.float32), 0.0
         weights[:, :-1][barred] = np.minimum(weights[:, :-1][barred], 0)
         shared.unpersist()
-    return weights
-
-
-def shares(prepared: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(doc_id, labels, held, shares array<double>, n_sentences): expected share of each subject in each document's sentences, labels aside."""
-    shared = prepared.sparkSession.sparkContext.broadcast(weights)
+    return Model(weights, counts.astype(np.float32), chance.astype(np.float32), barred)
+
+
+def _left_out(b: _Block, model: Model, post: np.ndarray, d: int) -> np.ndarray:
+    """Shares of a labelled document by a model that has not counted it. ``post`` is what the fit made of its sentences."""
+    at = slice(int(b.sizes[:d].sum()), int(b.sizes[: d + 1].sum()))
+    spans = [np.arange(b.starts[k], b.starts[k] + b.widths[k]) for k in b.sentence[at]]
+    widths = np.array([len(x) for x in spans])
+    found, place = np.unique(b.features[np.concatenate(spans)], return_inverse=True)
+    own = np.zeros((len(found), post.shape[1]))
+    np.add.at(own, place, np.repeat(post[at], widths, axis=0))
+    scores = np.add.reduceat(model.without(found, own)[place], np.cumsum(widths) - widths, axis=0)
+    like = np.exp(scores - scores.max(axis=1, keepdims=True))
+    mix = np.full(like.shape[1], 1 / like.shape[1])
+    out = like
+    for _ in range(4):
+        out = like * mix
+        out /= np.maximum(out.sum(axis=1, keepdims=True), 1e-300)
+        mix = (out.sum(axis=0) + 0.05) / (len(like) + 0.05 * len(mix))
+    return out.mean(axis=0)[:-1]
+
+
+def shares(prepared: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, labels, shares array<double>, left_out array<double>, n_sentences): expected share of each subject in each document's
+    sentences, labels aside; ``left_out`` are the same by a model without the document, for labelled ones."""
+    shared = prepared.sparkSession.sparkContext.broadcast(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _blocks(batches):
-            share = b.per_doc(b.expectation(shared.value, free=True))[:, :-1] / np.maximum(b.sizes, 1)[:, None]
-            held = [own is not None and _is_held(doc) for doc, own in zip(b.docs.tolist(), b.told, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(b.docs), pa.array(b.told, pa.list_(pa.int32())), pa.array(held), pa.array(list(share), pa.list_(pa.float64())), pa.array(b.sizes, pa.int64())], names=["doc_id", "labels", "held", "shares", "n_sentences"])
+            model = shared.value
+            share = b.per_doc(b.expectation(model.weights, free=True))[:, :-1] / np.maximum(b.sizes, 1)[:, None]
+            told = [d for d, own in enumerate(b.labels) if own is not None and b.sizes[d]]
+            left: list[np.ndarray | None] = [None] * b.n
+            if told:
+                post = b.expectation(model.weights)
+                for d in told:
+                    left[d] = _left_out(b, model, post, d)
+            yield pa.RecordBatch.from_arrays([pa.array(b.docs), pa.array(b.labels, pa.list_(pa.int32())), pa.array(list(share), pa.list_(pa.float64())), pa.array(left, pa.list_(pa.float64())), pa.array(b.sizes, pa.int64())], names=["doc_id", "labels", "shares", "left_out", "n_sentences"])
 
-    return prepared.mapInArrow(task, "doc_id bigint, labels array<int>, held boolean, shares array<double>, n_sentences bigint")
+    return prepared.mapInArrow(task, "doc_id bigint, labels array<int>, shares array<double>, left_out array<double>, n_sentences bigint")
 
 
 def _cut(x: np.ndarray, y: np.ndarray, prior: float, width: float) -> float:
@@ -319,16 +365,16 @@ def _cut(x: np.ndarray, y: np.ndarray, prior: float, width: float) -> float:
 
 
 def calibrate(scored: DataFrame, n_subjects: int, sample: int = SAMPLE) -> tuple[float, np.ndarray]:
-    """Slope, and per subject the share at which its posterior is one half, from at most ``sample`` held-out labelled documents.
+    """Slope, and per subject the share at which its posterior is one half, from at most ``sample`` labelled documents.
 
-    Each subject's logistic curve crosses one half at the share that makes fewest errors on documents the fit has
-    not seen, drawn towards the common cut of all subjects (and that towards a sixth) where there are few of
+    Each document is judged by a model that has not counted it. A subject's logistic curve crosses one half at the
+    share that makes fewest errors, drawn towards the common cut of all subjects (and that towards a sixth) where there are few of
     them; the common slope is the one of largest likelihood.
     """
-    rows = scored.where("held").orderBy(F.xxhash64("doc_id")).limit(sample).select("labels", "shares").toArrow().to_pylist()
+    rows = scored.where("left_out is not null").orderBy(F.xxhash64("doc_id")).limit(sample).select("labels", "left_out").toArrow().to_pylist()
     middle, slope = np.full(n_subjects, 1 / 6), 80.0
     if rows:
-        x = np.array([r["shares"] for r in rows])
+        x = np.array([r["left_out"] for r in rows])
         y = np.array([[i in r["labels"] for i in range(n_subjects)] for r in rows])
         common = _cut(x.ravel(), y.ravel(), 1 / 6, 0.04)
         middle = np.array([_cut(x[:, i], y[:, i], common, 0.02) for i in range(n_subjects)])
