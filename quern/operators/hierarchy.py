@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import blank
+from quern.operators import skew
 from quern.session import cut
 
-HOT = 1000
 SEPARATOR = " > "
 
 
@@ -43,23 +43,11 @@ def links(rows: DataFrame, node: str = "id", parent: str = "parent_id") -> DataF
 
 
 def _hot(children: DataFrame, key: str) -> tuple[int, int, DataFrame | None]:
-    """Rows, different keys, and the keys that hold more than 1/HOT of all rows (fewer than HOT of them), if there are any."""
-    counts = children.groupBy(key).count()
-    total, different, most = counts.agg(F.sum("count"), F.count("*"), F.max("count")).first()
-    bound = max((total or 0) // HOT, 100_000)
-    few = F.broadcast(cut(counts.where(F.col("count") > bound).select(key), "hot")) if (most or 0) > bound else None
-    return total or 0, different, few
+    return skew.hot_keys(children.groupBy(key).count(), [key])
 
 
 def _join_on(children: DataFrame, parents: DataFrame, key: str, few: DataFrame | None, how: str = "left") -> DataFrame:
-    """``children`` join ``parents`` on ``key``; rows of the keys in ``few`` meet theirs by broadcast, where they are.
-
-    Without hot keys there is nothing to split off; the rows that come out are the same.
-    """
-    if few is None:
-        return children.join(parents, key, how)
-    cold = children.join(few, key, "left_anti").join(parents, key, how)
-    return cold.unionByName(children.join(few, key).join(F.broadcast(parents.join(few, key)), key, how))
+    return skew.join_on(children, parents, [key], few, how)
 
 
 def _join_parent(children: DataFrame, parents: DataFrame) -> DataFrame:

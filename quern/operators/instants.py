@@ -3,11 +3,11 @@
 ``normalise`` follows the dictionary method: raw strings are reduced to distinct
 (raw, host) values, each distinct value is parsed exactly once by an exhaustive list of
 notations, and the instants are joined back to the rows. ``InstantDictionary`` keeps the
-parsed values between runs, so a later batch only parses strings it has not seen.
+parsed values in the shared folder, so a later run only parses strings it has not seen.
 
 Everything runs as Catalyst expressions; no Python touches a row. A raw string that a
-third of all rows share does not form a hot group: the dictionary key carries a salt taken
-from the row, which multiplies only strings that repeat (at most ``SALTS`` parses each).
+third of all rows share does not form a hot group: it is one row before any shuffle, and its
+rows take their instant from a broadcast of the few hot strings.
 
 Defined results
 * NULL, blank, truncated or impossible values (month 13, hour 25, 30 February) -> NULL.
@@ -23,6 +23,8 @@ Defined results
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
@@ -32,9 +34,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions.text import opaque, squeeze
-from quern.session import cut
+from quern.ledger import Ledger
+from quern.operators.skew import hot_keys, join_on
+from quern.session import cut, drop_path, shared_dir
 
-SALTS = 64
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?(?:\s*([AaPp])[Mm])?"
 _ZONE = r"\s*(Z|z|[A-Za-z]{2,5}|[+-]\d{2}(?::?\d{2})?)?(?:\[[A-Za-z0-9_+\-/]+\])?"
 #: Every notation with a clock: the order its host must have in slashed dates (None: any), the
@@ -103,19 +106,22 @@ def with_parsed(df: DataFrame, raw: str, zone: str, order: str, abbreviations: s
 
 
 def _zone_abbreviations(zone_name: str | None) -> dict[str, str]:
-    """Abbreviation -> offset as the zone has used them since 1990, the latest use winning."""
+    """Abbreviation -> offset as the zone has used them since 1970, and will by its present rules, the latest use winning.
+
+    A look a week finds every period of an offset: none is shorter.
+    """
     out: dict[str, str] = {}
     try:
         zone = ZoneInfo(zone_name or "")
     except (KeyError, ValueError, OSError):
         return out
-    at = datetime(1990, 1, 1, tzinfo=timezone.utc)
-    for _ in range(45 * 24):
+    at, end = datetime(1970, 1, 1, tzinfo=timezone.utc), datetime(2100, 1, 1, tzinfo=timezone.utc)
+    while at < end:
         local = at.astimezone(zone)
         name, shift = local.tzname(), int(local.utcoffset().total_seconds()) // 60
         if name and name[0].isalpha():
             out[name.upper()] = f"{'-' if shift < 0 else '+'}{abs(shift) // 60:02d}:{abs(shift) % 60:02d}"
-        at += timedelta(days=15.25)
+        at += timedelta(days=7)
     return out
 
 
@@ -143,65 +149,103 @@ def with_instant(df: DataFrame, raw: str, hosts: DataFrame, out: str = "utc_us")
     return with_parsed(df.join(zones, "hostname", "left"), raw, "__zone", "__order", "__abbr", out).drop("__zone", "__order", "__abbr")
 
 
-def normalise(rows: DataFrame, hosts: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Add ``utc_us`` to rows of (raw, hostname, record_key, ...).
+def distinct_values(rows: DataFrame) -> DataFrame:
+    """(raw, hostname, n): each distinct string of each host with its rows, counted before the shuffle. NULL in raw has no row."""
+    return rows.where(F.col("raw").isNotNull()).groupBy("raw", F.coalesce("hostname", F.lit("")).alias("hostname")).agg(F.count("*").alias("n"))
+
+
+def attach(rows: DataFrame, known: DataFrame, few: DataFrame | None) -> DataFrame:
+    """Rows with ``utc_us`` from the dictionary; strings that a large part of the rows share (``few``) are joined by broadcast."""
+    with_host = rows.withColumn("hostname", F.coalesce("hostname", F.lit("")))
+    return join_on(with_host, known.select("raw", "hostname", "utc_us"), ["raw", "hostname"], few)
 
-    1. distinct (raw, hostname, salt) with map-side combine;
-    2. values already in ``known`` (raw, hostname, utc_us) are taken from it, the rest is parsed once;
-    3. the dictionary is joined back on the same key, so the rows and the dictionary share one
-       partitioning and no key can hold more than 1/SALTS of a hot string.
-    Rows with NULL in raw get NULL without taking part in the join.
+
+def normalise(rows: DataFrame, hosts: DataFrame, dictionary: InstantDictionary | None = None) -> DataFrame:
+    """Add ``utc_us`` to rows of (raw, hostname, ...).
+
+    1. distinct (raw, hostname) with map-side combine;
+    2. values the dictionary does not hold yet are parsed, each once, and added to it;
+    3. the dictionary is joined back. Without one, the values are parsed for this call only.
     """
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64("record_key"), F.lit(SALTS)))
-    with_host = salted.withColumn("hostname", F.coalesce("hostname", F.lit("")))
-    values = with_host.where(F.col("raw").isNotNull()).select("raw", "hostname", "__salt").distinct()
-    if known is None:
-        parsed = parse_dictionary(values, hosts)
+    values = cut(distinct_values(rows), "values")
+    few = hot_keys(values, ["raw", "hostname"], "n")[2]
+    if dictionary is None:
+        known = cut(parse_dictionary(values.drop("n"), hosts), "parsed")
     else:
-        hit = values.join(known.select("raw", "hostname", "utc_us"), ["raw", "hostname"], "left_anti")
-        old = values.join(known.select("raw", "hostname", "utc_us"), ["raw", "hostname"])
-        parsed = old.unionByName(parse_dictionary(hit, hosts))
-    return with_host.join(parsed, ["raw", "hostname", "__salt"], "left").drop("__salt")
+        dictionary.update(values, hosts)
+        known = dictionary.read()
+    return attach(rows, known, few)
+
+
+#: Changes whenever a notation is read in another way, so that old dictionaries are not used any more.
+EDITION = 2
 
 
 class InstantDictionary:
     """Persistent dictionary of (raw, hostname) -> utc_us, grown run by run.
 
     ``update`` appends only values it has not seen; running it twice on the same rows adds
-    nothing. Unreadable values are kept with NULL, so they are not parsed again either.
+    nothing. Unreadable values are kept with NULL, so they are not parsed again either. A manifest
+    names the folders that count; of two writers with the same new values one plans again.
     """
 
+    SCHEMA = "raw string, hostname string, utc_us bigint"
+
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
+        self.ledger = Ledger(spark, self.path)
 
-    SCHEMA = "raw string, hostname string, utc_us bigint"
+    @staticmethod
+    def of(hosts: DataFrame) -> InstantDictionary:
+        """The dictionary in the shared folder that belongs to this registry of hosts: zones decide what a string means."""
+        spark = hosts.sparkSession
+        rows = sorted((r[0] or "", r[1] or "", r[2] or "") for r in hosts.groupBy("hostname").agg(F.min("zone_name"), F.min(F.lower("date_order"))).collect())
+        mark = hashlib.sha256(repr((EDITION, rows)).encode()).hexdigest()[:24]
+        return InstantDictionary(spark, f"{shared_dir(spark)}/quern-instants-{mark}")
+
+    def _folders(self, value: dict | None) -> DataFrame:
+        folders = [f"{self.path}/{f}" for f in (value or {}).get("folders", [])]
+        return self.spark.read.schema(self.SCHEMA).parquet(*folders) if folders else self.spark.createDataFrame([], self.SCHEMA)
 
     def read(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(self.SCHEMA).parquet(self.path)
-        except Exception as error:  # noqa: BLE001 - the first run has no dictionary yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            return self.spark.createDataFrame([], self.SCHEMA)
-
-    def update(self, rows: DataFrame, hosts: DataFrame) -> int:
-        values = rows.where(F.col("raw").isNotNull()).select("raw", F.coalesce("hostname", F.lit("")).alias("hostname")).distinct()
-        new = cut(parse_dictionary(values.join(self.read(), ["raw", "hostname"], "left_anti"), hosts).select("raw", "hostname", "utc_us"), "instants")
-        count = new.count()
-        if count:
-            new.write.mode("append").parquet(self.path)
-        return count
+        at = self.ledger.version()
+        return self._folders(self.ledger.read(at) if at else None)
+
+    def update(self, values: DataFrame, hosts: DataFrame) -> int:
+        """Parse and keep what is new of (raw, hostname[, ..]), or of the distinct values of rows; returns how many."""
+        once = values.where(F.col("raw").isNotNull()).select("raw", F.coalesce("hostname", F.lit("")).alias("hostname")).distinct()
+        added = 0
+
+        def plan(old: dict | None) -> dict | None:
+            nonlocal added
+            folder = f"data-{uuid.uuid4().hex}"
+            new = once.join(self._folders(old), ["raw", "hostname"], "left_anti") if old else once
+            parse_dictionary(new, hosts).select("raw", "hostname", "utc_us").write.parquet(f"{self.path}/{folder}")
+            added = self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/{folder}").count()
+            if not added:
+                drop_path(self.spark, f"{self.path}/{folder}")
+                return None
+            return {"folders": [*(old or {"folders": []})["folders"], folder]}
+
+        self.ledger.change(plan)
+        return added
 
 
 def archive_instants(messages: DataFrame, sessions: DataFrame, head_entries: DataFrame, hosts: DataFrame) -> DataFrame:
     """(table_name, record_key, utc_us) of every readable time in the three tables, without repeats."""
     columns = ["table_name", "record_key", "utc_us"]
 
-    def read(df: DataFrame, name: str, key: str, raw: str) -> DataFrame:
-        rows = df.select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("record_key"), F.col(raw).alias("raw"), "hostname")
-        return normalise(rows.where("raw is not null and record_key is not null"), hosts).where("utc_us is not null").select(columns)
+    def raw(df: DataFrame, name: str, key: str, text: str) -> DataFrame:
+        rows = df.select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("record_key"), F.col(text).alias("raw"), "hostname")
+        return rows.where("raw is not null and record_key is not null")
 
+    own, from_messages = raw(sessions, "sessions", "id", "created_at"), raw(messages, "messages", "delivery_id", "timestamp")
+    values = cut(distinct_values(own.unionByName(from_messages)), "values")
+    few = hot_keys(values, ["raw", "hostname"], "n")[2]
+    dictionary = InstantDictionary.of(hosts)
+    dictionary.update(values, hosts)
+    known = dictionary.read()
     heads = head_entries.select(F.lit("head_entries").alias("table_name"), F.col("entry_id").cast("string").alias("record_key"), epoch_us(F.col("source_ts")).alias("utc_us"))
+    read = lambda rows: attach(rows, known, few).where("utc_us is not null").select(columns)
     # Only sessions repeat an id; rows of the other two are unique by key.
-    repeated = read(sessions, "sessions", "id", "created_at").distinct()
-    return read(messages, "messages", "delivery_id", "timestamp").unionByName(heads.where("utc_us is not null and record_key is not null")).unionByName(repeated)
+    return read(from_messages).unionByName(heads.where("utc_us is not null and record_key is not null")).unionByName(read(own).distinct())

@@ -54,7 +54,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_survivors(spark: SparkSession, sf: str) -> DataFrame:
-    return upsert.deduplicate(table(spark, sf, "messages")).select("session_id", "message_key", "delivery_id", "delivered_at", "role", "timestamp").withColumn("delivered_at", F.col("delivered_at").cast("timestamp_ntz"))
+    return upsert.survivors(table(spark, sf, "messages"), ["role", "timestamp"]).withColumn("delivered_at", F.col("delivered_at").cast("timestamp_ntz"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_circle_descendants, p1_cut_points, p3_found, p3_unified, p5_found, p7_found, p7_survivors)}

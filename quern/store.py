@@ -11,7 +11,6 @@ key is never overwritten by ``append_absent``. Equal keys within one batch are r
 
 from __future__ import annotations
 
-import json
 import random
 import time
 import uuid
@@ -20,54 +19,27 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.ledger import Conflict, Ledger
 from quern.session import cut
 
 KEYS = {"sessions": ["id"], "messages": ["session_id", "id"], "parts": ["session_id", "message_id", "id"]}
 
 
-class Conflict(RuntimeError):
-    """Another writer committed first."""
-
-
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._jvm = spark.sparkContext._jvm
-        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
-
-    # files
-
-    def _at(self, path: str):
-        p = self._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self._conf), p
 
-    def _versions(self, table: str) -> list[int]:
-        fs, p = self._at(f"{self.path}/{table}/_manifests")
-        return sorted(int(s.getPath().getName().removesuffix(".json")) for s in fs.listStatus(p) if s.getPath().getName().endswith(".json")) if fs.exists(p) else []
+    def _ledger(self, table: str) -> Ledger:
+        return Ledger(self.spark, f"{self.path}/{table}")
 
     def _manifest(self, table: str, version: int) -> list[str]:
-        fs, p = self._at(f"{self.path}/{table}/_manifests/{version:012d}.json")
-        stream = fs.open(p)
-        try:
-            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["folders"]
-        finally:
-            stream.close()
+        return self._ledger(table).read(version)["folders"]
 
     def _commit(self, table: str, version: int, folders: list[str]) -> None:
-        fs, p = self._at(f"{self.path}/{table}/_manifests/{version:012d}.json")
-        try:
-            out = fs.create(p, False)
-        except Exception as error:
-            if fs.exists(p):
-                raise Conflict(f"{table} has a version {version} already") from error
-            raise
-        try:
-            out.write(bytearray(json.dumps({"folders": folders}).encode()))
-        finally:
-            out.close()
+        self._ledger(table).commit(version, {"folders": folders})
 
     def version(self, table: str) -> int:
-        return max(self._versions(table), default=0)
+        return self._ledger(table).version()
 
     # reads
 

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from quern.operators import hierarchy
+from quern.operators import hierarchy, skew
 
 SCHEMA = "id string, parent_session_id string, extra int"
 
@@ -68,7 +68,7 @@ def test_paths_and_descendants(spark):
 
 
 def test_hot_parent_is_split_off(spark, monkeypatch):
-    monkeypatch.setattr(hierarchy, "max", lambda *_: 50, raising=False)
+    monkeypatch.setattr(skew, "LEAST", 50)
     rows = [("r", None, 0), ("x", "r", 0), *[(f"leaf{i}", "x", 0) for i in range(200)], ("deep", "leaf7", 0)]
     assert lineage(spark, rows) == brute(rows)
 
@@ -103,7 +103,7 @@ def test_ids_that_hold_the_separator(spark):
 
 
 def test_hot_hub_below_the_root(spark, monkeypatch):
-    monkeypatch.setattr(hierarchy, "max", lambda *_: 50, raising=False)
+    monkeypatch.setattr(skew, "LEAST", 50)
     rows = [("r", None, 0), ("hub", "r", 0), *[(f"m{i:03d}", "hub", 0) for i in range(150)], *[(f"l{i:03d}", f"m{i:03d}", 0) for i in range(150)]]
     assert lineage(spark, rows) == brute(rows)
 

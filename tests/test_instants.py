@@ -4,7 +4,7 @@ from zoneinfo import ZoneInfo
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import instants
+from quern.operators import instants, skew
 
 HOSTS = [("ny", "America/New_York", "mdy"), ("be", "Europe/Berlin", "dmy"), ("in", "Asia/Kolkata", "dmy"), ("jp", "Asia/Tokyo", "ymd")]
 
@@ -61,8 +61,11 @@ def test_dictionary_grows_only_by_new_values(spark, tmp_path):
     rows = spark.createDataFrame([("1", "1727604592", "ny"), ("2", "1727604592", "ny"), ("3", "junk", "ny")], "record_key string, raw string, hostname string")
     assert d.update(rows, hosts) == 2
     assert d.update(rows, hosts) == 0
-    known = {r.record_key: r.utc_us for r in instants.normalise(rows, hosts, d.read()).collect()}
+    known = {r.record_key: r.utc_us for r in instants.normalise(rows, hosts, d).collect()}
     assert known == {"1": 1727604592_000_000, "2": 1727604592_000_000, "3": None}
+    again = instants.InstantDictionary(spark.newSession(), str(tmp_path / "dict"))
+    assert again.update(rows, hosts) == 0 and again.read().count() == 2
+    assert instants.InstantDictionary.of(hosts).path != instants.InstantDictionary.of(hosts.limit(1)).path
 
 
 @pytest.mark.parametrize("empty", [True, False])
@@ -76,8 +79,10 @@ def test_archive_tables(spark, empty):
     assert got == ([] if empty else [("head_entries", "7", t), ("messages", "1", t), ("sessions", "a", t), ("sessions", "a", t + 1_000_000)])
 
 
-def test_a_hot_string_is_spread(spark):
+def test_a_hot_string_is_joined_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST", 500)
     hosts = spark.createDataFrame(HOSTS, "hostname string, zone_name string, date_order string")
-    rows = spark.range(2000).select(F.col("id").cast("string").alias("record_key"), F.lit("1727604592").alias("raw"), F.lit("ny").alias("hostname"))
-    assert instants.normalise(rows, hosts).where("utc_us = 1727604592000000").count() == 2000
+    rows = spark.range(2000).select(F.col("id").cast("string").alias("record_key"), F.when(F.col("id") < 1500, "1727604592").otherwise(F.col("id").cast("string")).alias("raw"), F.lit("ny").alias("hostname"))
+    got = instants.normalise(rows, hosts)
+    assert got.count() == 2000 and got.where("utc_us = 1727604592000000").count() == 1500 and got.where("utc_us is null").count() == 0
     assert datetime.fromtimestamp(1727604592, timezone.utc).year == 2024

@@ -2,7 +2,7 @@ from datetime import datetime
 
 from quern.operators import upsert
 
-SCHEMA = "delivery_id bigint, delivered_at timestamp, session_id string, id string, role string, best string"
+SCHEMA = "delivery_id bigint, delivered_at timestamp, session_id string, id string, role string, batch_id string"
 
 
 def rows(spark, data):
@@ -38,16 +38,32 @@ def test_upserts_commute_and_repeat(spark):
     assert upsert.surplus(rows(spark, DATA), one).count() == 3
 
 
-def test_merging_runs_needs_no_exchange(spark):
+def test_merging_runs_needs_no_exchange_and_no_sort(spark):
     s = upsert.KeyedStore(spark, buckets=4).upsert(rows(spark, DATA[:3])).upsert(rows(spark, DATA[3:]))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         plan = s.read()._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert "Exchange" not in plan
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and " Sort " not in plan
+
+
+def test_a_store_is_reopened_by_its_path(spark, tmp_path):
+    one = upsert.KeyedStore(spark, str(tmp_path / "s"), buckets=3, payload=["role"]).upsert(rows(spark, DATA[:3]))
+    two = upsert.KeyedStore(spark.newSession(), str(tmp_path / "s"))
+    assert two.runs == 1 and {r.role for r in two.read().collect()} == {"v"}
+    two.upsert(rows(two.spark, DATA[2:])).compact()
+    assert one.runs == 1 and {r.best.delivery_id for r in one.read().collect()} == {2, 4, 6}
+    one.upsert(rows(spark, DATA)).compact()
+    assert {r.best.delivery_id for r in two.read().collect()} == {2, 4, 6}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("quern_")]
+
+
+def test_survivors_with_their_columns(spark):
+    got = {(r.session_id, r.message_key, r.delivery_id, r.role) for r in upsert.survivors(rows(spark, DATA), ["role"]).collect()}
+    assert got == {("s", "a", 2, "v"), ("s", "b", 6, "z"), ("z", "a", 4, "x")}
 
 
 def test_one_message_delivered_very_often(spark):
-    df = spark.range(5000).selectExpr("id AS delivery_id", "timestamp_seconds(id) AS delivered_at", "'s' AS session_id", "'m' AS id", "'u' AS role", "'' AS best")
+    df = spark.range(5000).selectExpr("id AS delivery_id", "timestamp_seconds(id) AS delivered_at", "'s' AS session_id", "'m' AS id", "'u' AS role", "'' AS batch_id")
     assert upsert.surplus(df).count() == 4999
