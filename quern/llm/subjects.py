@@ -67,6 +67,8 @@ class _Numbers(dict):
     """Word -> 32-bit hash, remembered while there is room."""
 
     def __missing__(self, word: bytes) -> int:
+        if word == b"\n" or len(word) < 2:
+            return _BREAK if word == b"\n" else _EMPTY
         if len(self) > 500_000:
             self.clear()
         out = self[word] = xxhash.xxh32_intdigest(word)
@@ -74,19 +76,19 @@ class _Numbers(dict):
 
 
 _NUMBERS = _Numbers()
+#: Numbers above all hashes: no word, and the end of a sentence.
+_EMPTY, _BREAK = 1 << 33, 1 << 34
 
 
 def numbered(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Features of sentences in small letters, one sentence after the other, and how many each has: its words and its word pairs."""
-    ids: list[int] = []
-    sizes = np.zeros(len(parts), np.int64)
     joined = "\n".join(parts)
-    lines = (joined if joined.isascii() else _MARK.sub(" ", joined)).encode().translate(_LETTERS).split(b"\n") if parts else []
-    for i, line in enumerate(lines):
-        words = [w for w in line.split() if len(w) > 1]
-        sizes[i] = len(words)
-        ids.extend(map(_NUMBERS.__getitem__, words))
-    word = np.array(ids, np.uint64)
+    words = (joined if joined.isascii() else _MARK.sub(" ", joined)).encode().translate(_LETTERS).replace(b"\n", b" \n ").split(b" ")
+    ids = np.fromiter(map(_NUMBERS.__getitem__, words), np.uint64, len(words))
+    ends = np.append(np.flatnonzero(ids == _BREAK), len(ids))
+    gone = np.cumsum((ids == _EMPTY) | (ids == _BREAK))
+    sizes = np.diff(np.concatenate([[0], ends - np.where(ends < len(ids), gone[np.minimum(ends, len(ids) - 1)] - 1, gone[-1])])) if parts else np.zeros(0, np.int64)
+    word = ids[(ids != _EMPTY) & (ids != _BREAK)]
     sentence = np.repeat(np.arange(len(parts)), sizes)
     same = sentence[1:] == sentence[:-1]
     pair = ((word[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (word[1:] * np.uint64(0xC2B2AE3D27D4EB4F)))[same]
@@ -110,24 +112,31 @@ _ARROW = pa.schema([("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int
 def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of documents in which a sentence that occurs several times has its features written once."""
     docs: list[tuple] = []
-    number: dict[tuple[int, str], int] = {}
+    number: list[dict[str, int]] = [{} for _ in range(LANGUAGES)]
+    kinds: list[str] = []
     sentence: list[int] = []
     letters = 0
 
     def close() -> pa.RecordBatch:
-        features, widths = numbered([s for _, s in number])
+        features, widths = numbered(kinds)
         row = [[d[0] for d in docs], [d[1] for d in docs], sentence, features, widths, [d[2] for d in docs], [d[3] for d in docs]]
         return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _ARROW, strict=True)], schema=_ARROW)
 
     for batch in batches:
         for doc, text, labels, tongue in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             own = sentences(text.lower())
-            sentence += [number.setdefault((tongue, s), len(number)) for s in own]
+            seen = number[tongue]
+            for s in own:
+                i = seen.get(s)
+                if i is None:
+                    i = seen[s] = len(kinds)
+                    kinds.append(s)
+                sentence.append(i)
             docs.append((doc, len(own), labels, tongue))
             letters += len(text)
             if len(docs) == BLOCK or letters > LETTERS:
                 yield close()
-                docs, number, sentence, letters = [], {}, [], 0
+                docs, number, kinds, sentence, letters = [], [{} for _ in range(LANGUAGES)], [], [], 0
     if docs:
         yield close()
 
@@ -200,9 +209,14 @@ class _Block:
 class _Sums:
     """Counts of one task: per feature the classes and languages, and per language the classes."""
 
+    #: Features kept back until they are added to the table together.
+    ROOM = 400_000
+
     def __init__(self, classes: int):
         self.classes = classes
         self.table = np.zeros((FEATURES + LANGUAGES, classes + LANGUAGES))
+        self.waiting: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
 
     def add(self, b: _Block, weights: np.ndarray) -> None:
         """``weights``: what each class gets of each sentence (and so of each of its features)."""
@@ -212,17 +226,29 @@ class _Sums:
         held, first = np.unique(b.sentence[order], return_index=True)
         kinds = np.zeros((len(b.widths), self.classes))
         kinds[held] = np.add.reduceat(weights[order], first, axis=0)
-        kind = np.repeat(np.arange(len(b.widths)), b.widths)
+        some = kinds.any(axis=1)
+        if not some.any():
+            return
+        self.waiting.append((b.features[np.repeat(some, b.widths)], b.widths[some], kinds[some], b.kind_tongue[some]))
+        self.size += len(self.waiting[-1][0])
+        if self.size > self.ROOM:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.waiting:
+            return
+        features, widths, kinds, tongues = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
+        self.waiting, self.size = [], 0
         for c in range(self.classes):
-            if kinds[:, c].any():
-                self.table[:FEATURES, c] += np.bincount(b.features, kinds[kind, c], FEATURES)
-                self.table[FEATURES:, c] += np.bincount(b.kind_tongue, kinds[:, c] * b.widths, LANGUAGES)
-        total, tongue = kinds.sum(axis=1)[kind], b.kind_tongue[kind]
-        for t in np.unique(tongue):
+            self.table[:FEATURES, c] += np.bincount(features, np.repeat(kinds[:, c], widths), FEATURES)
+            self.table[FEATURES:, c] += np.bincount(tongues, kinds[:, c] * widths, LANGUAGES)
+        total, tongue = np.repeat(kinds.sum(axis=1), widths), np.repeat(tongues, widths)
+        for t in np.unique(tongues):
             at = tongue == t
-            self.table[:FEATURES, self.classes + t] += np.bincount(b.features[at], total[at], FEATURES)
+            self.table[:FEATURES, self.classes + t] += np.bincount(features[at], total[at], FEATURES)
 
     def emit(self) -> pa.RecordBatch:
+        self.flush()
         rows = np.flatnonzero(self.table.sum(axis=1) > 1e-9)
         return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *[pa.array(self.table[rows, c]) for c in range(self.table.shape[1])]], names=["feature", *[f"c{c}" for c in range(self.table.shape[1])]])
 
