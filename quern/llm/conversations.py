@@ -2,28 +2,28 @@
 
 Messages arrive in export fragments (the rows of one session in one batch) that may overlap.
 
-1. ``fragments`` summarises each fragment by its size and its first and last message; copies
-   of a message are known by its identity (session and id).
-2. ``overlaps`` finds suffix-prefix matches. Only messages that were delivered in more than
-   one fragment can link two. The contigs need representative links only: copies of one message
-   are chained in the order of their fragments, k copies give k - 1 links. With ``every`` all
-   pairs that share a message come out. The shared stretch must be the end of one fragment and
-   the beginning of the other (or one lies inside the other).
-3. ``contigs`` merges fragments along unambiguous links (one successor, one predecessor) by
-   pointer doubling; a fragment inside another is absorbed by it.
-4. ``assemble`` keeps one copy of each message (the earliest delivery) and puts the contigs of
-   a session in order of time, then id; parts follow by ordinal.
-5. ``verdicts`` drops conversations that are empty, broken or miss a reply. By the data's
-   statement that follows from roles, times and parts alone: no verdict depends on the contigs.
+1. ``ranked`` orders the messages of every fragment that shares any with another, and gives each its rank and the
+   sums of the message hashes before it.
+2. ``overlaps`` finds suffix-prefix matches. Each fragment is linked to the one that begins first among those that
+   hold one of its shared messages (a representative; copies are never paired with each other). A
+   link says how far the two are shifted; the hash sums of the stretch they must then share are compared, so
+   one look-up tells whether it is the same in both, without a hole: the end of one and the
+   beginning of the other (``suffix_prefix``), or all of one within the other (``inside``); else ``tangled``.
+3. ``contigs`` merges fragments along unambiguous links (each takes the predecessor it shares most with; a predecessor that
+   two fragments take is a fork and ends the path) by pointer doubling; a fragment inside another is absorbed by it.
+4. ``assemble`` takes the messages of all contigs, one copy of each (the earliest delivery), and puts them
+   in order of time, then id; parts follow by ordinal. A part whose message is in no contig is a gap.
+5. ``verdicts`` drops conversations that are empty, broken (a gap among others) or miss a reply, by the data's statement.
 
 A session of any size is no single task's business: turns are compared within (session, hour)
-blocks and the blocks are combined by their first and last turn.
+blocks and the blocks are combined by their first and last turn, and ranks likewise.
 
 Defined results
 * Ids of messages are compared trimmed and in lower case. Roles are canonical (NULL where the
   spelling is none of the known); turns are user or assistant messages with a conversational,
   non-blank text part.
 * Messages without session or id cannot be placed and are left out; so are parts without session.
+* Rows without a batch are one fragment of their session.
 * Exact repeats of parts count once. NULL ordinals break a conversation. An unreadable time
   breaks it; such messages come last in order.
 """
@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from quern.functions.text import blank, id_key
 from quern.operators.hierarchy import resolve
 from quern.operators.instants import with_instant
+from quern.operators.skew import hot_keys, join_on
 from quern.operators.upsert import identified
 from quern.session import cut
 
@@ -54,7 +55,7 @@ def canonical_role(role: str):
 
 def timed(messages: DataFrame, hosts: DataFrame) -> DataFrame:
     """Every delivery that can be placed: identity, batch, role and instant."""
-    rows = identified(messages).select(*KEY, "batch_id", "delivered_at", "delivery_id", canonical_role("role").alias("role"), "content", "timestamp", "hostname")
+    rows = identified(messages).select(*KEY, F.coalesce("batch_id", F.lit("")).alias("batch_id"), "delivered_at", "delivery_id", canonical_role("role").alias("role"), "content", "timestamp", "hostname")
     return with_instant(rows, "timestamp", hosts).drop("hostname", "timestamp")
 
 
@@ -70,58 +71,94 @@ def _position() -> F.Column:
     return F.struct(F.col("utc_us").isNull().alias("untimed"), F.col("utc_us").alias("us"), F.col("message_key").alias("key"))
 
 
-def fragments(deliveries: DataFrame) -> DataFrame:
-    """(session_id, batch_id, size, head, tail): each export fragment by its ordered ends."""
-    p = _position()
-    return deliveries.where("batch_id is not null").groupBy("session_id", "batch_id").agg(F.count_distinct("message_key").alias("size"), F.min(p).alias("head"), F.max(p).alias("tail"))
+BATCH = ["session_id", "batch_id"]
+#: Bits of one message hash; two are kept, and sums of both compared.
+BITS = 31
 
 
-def overlaps(deliveries: DataFrame, kept: DataFrame, every: bool = False) -> DataFrame:
-    """(session_id, a, b, shared, kind) for fragments that share messages; kind is ``suffix_prefix``, ``inside`` or ``tangled``.
+def _block() -> F.Column:
+    """Stretch of a session that one task orders: an hour, or, of untimed messages, those whose ids begin alike."""
+    return F.struct(F.coalesce(F.floor(F.col("utc_us") / HOUR_US), F.lit(1 << 50)).alias("hour"), F.when(F.col("utc_us").isNull(), F.substring("message_key", 1, 12)).otherwise("").alias("prefix"))
 
-    ``a`` begins before ``b``; with ``inside`` all of ``b`` lies in ``a``. With ``every``
-    each pair that shares a message has a row (k copies of a message make k * (k - 1) / 2 pairs),
-    else only fragments that follow each other among the copies of a message.
+
+def ranked(deliveries: DataFrame, kept: DataFrame) -> DataFrame:
+    """(session_id, batch_id, message_key, utc_us, is_shared, copies, rank, sum1, sum2) of the fragments that share messages.
+
+    A message stands where its surviving copy does; ``sum1`` and ``sum2`` add up the hashes of those before it. Ranks and
+    sums are made block by block, so a fragment of any size is never ordered by one task.
     """
     shared = kept.where("first_batch <> last_batch").select(*KEY)
-    copies = deliveries.where("batch_id is not null").join(shared, KEY).groupBy(*KEY, "batch_id").agg(F.min("utc_us").alias("utc_us"))
-    w = Window.partitionBy(*KEY).orderBy("batch_id")
-    if every:
-        chained = copies.join(copies.select(*KEY, F.col("batch_id").alias("next")), KEY).where("batch_id < next")
-    else:
-        chained = copies.withColumn("next", F.lead("batch_id").over(w)).where("next is not null")
-    links = chained.withColumn("at", _position())
-    pairs = links.groupBy("session_id", F.col("batch_id").alias("x"), F.col("next").alias("y")).agg(F.count("*").alias("shared"), F.min("at").alias("low"), F.max("at").alias("high"))
-    sizes = fragments(deliveries)
-    x = sizes.select("session_id", F.col("batch_id").alias("x"), F.struct("size", "head", "tail").alias("fx"))
-    y = sizes.select("session_id", F.col("batch_id").alias("y"), F.struct("size", "head", "tail").alias("fy"))
-    j = pairs.join(x, ["session_id", "x"]).join(y, ["session_id", "y"])
-    inside_y, inside_x = F.col("shared") == F.col("fy.size"), F.col("shared") == F.col("fx.size")
-    forward = (F.col("high") == F.col("fx.tail")) & (F.col("low") == F.col("fy.head"))
-    backward = (F.col("high") == F.col("fy.tail")) & (F.col("low") == F.col("fx.head"))
-    swap = ~inside_y & (inside_x | (~forward & backward))
-    kind = F.when(inside_x | inside_y, "inside").when(forward | backward, "suffix_prefix").otherwise("tangled")
-    return j.select("session_id", F.when(swap, F.col("y")).otherwise(F.col("x")).alias("a"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("b"), "shared", kind.alias("kind"))
+    touched = deliveries.join(shared, KEY, "left_semi").select(*BATCH).distinct()
+    rows = deliveries.join(touched, BATCH, "left_semi").select(*BATCH, "message_key").distinct()
+    placed = rows.join(kept.select(*KEY, "utc_us", (F.col("first_batch") != F.col("last_batch")).alias("is_shared"), "copies"), KEY).withColumn("block", _block())
+    marks = [F.pmod(F.xxhash64("message_key", F.lit(seed)), F.lit(1 << BITS)) for seed in (1, 2)]
+    hashed = placed.withColumn("h1", marks[0]).withColumn("h2", marks[1])
+    w = Window.partitionBy(*BATCH, "block").orderBy("utc_us", "message_key").rowsBetween(Window.unboundedPreceding, 0)
+    inner = hashed.withColumn("n", F.count("*").over(w)).withColumn("s1", F.sum("h1").over(w)).withColumn("s2", F.sum("h2").over(w))
+    upto = Window.partitionBy(*BATCH).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = hashed.groupBy(*BATCH, "block").agg(F.count("*").alias("m"), F.sum("h1").alias("t1"), F.sum("h2").alias("t2"))
+    before = before.select(*BATCH, "block", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(c) for c in ("m", "t1", "t2")])
+    j = inner.join(before, [*BATCH, "block"])
+    return j.select(*BATCH, "message_key", "utc_us", "is_shared", "copies", (F.col("m") + F.col("n") - 1).alias("rank"), (F.col("t1") + F.col("s1") - F.col("h1")).alias("sum1"), (F.col("t2") + F.col("s2") - F.col("h2")).alias("sum2"), "h1", "h2")
+
+
+def overlaps(rows: DataFrame) -> DataFrame:
+    """(session_id, a, b, shared, kind) for fragments linked by a shared message, from ``ranked`` rows; ``a`` begins first.
+
+    ``shared`` is the length of the common stretch (for ``tangled`` the number of links found).
+    """
+    last = F.struct("rank", F.col("sum1") + F.col("h1"), F.col("sum2") + F.col("h2"))
+    frag = rows.groupBy(*BATCH).agg(F.min(F.struct(F.col("utc_us").isNull().alias("untimed"), F.col("utc_us").alias("us"), F.col("message_key").alias("key"))).alias("head"), F.max(last).alias("last"))
+    frag = frag.select(*BATCH, "head", (F.col("last")["rank"] + 1).alias("size"), F.col("last")["col2"].alias("all1"), F.col("last")["col3"].alias("all2"))
+    copies = rows.where("is_shared").join(frag.select(*BATCH, "head", "size"), BATCH)
+    # Of the fragments that hold a message, the one that begins first (the longest of those, then by name) stands for all.
+    order = F.struct("head", -F.col("size"), "batch_id")
+    first = copies.groupBy(*KEY).agg(F.min_by(F.struct(F.col("batch_id").alias("a"), F.col("rank").alias("rank_a")), order).alias("f"), F.count("*").alias("count"))
+    few = hot_keys(first, KEY)[2]
+    links = join_on(copies.select(*KEY, F.col("batch_id").alias("b"), F.col("rank").alias("rank_b")), first.select(*KEY, "f.a", "f.rank_a"), KEY, few, "inner").where("a <> b")
+    links = links.groupBy("session_id", "a", "b", (F.col("rank_a") - F.col("rank_b")).alias("shift")).agg(F.count("*").alias("found"))
+    side = lambda x: frag.select("session_id", F.col("batch_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", "all1", "all2")])
+    j = links.join(side("a"), ["session_id", "a"]).join(side("b"), ["session_id", "b"])
+    j = j.withColumn("m", F.least(F.col("size_a") - F.col("shift"), "size_b")).withColumn("end_a", F.col("shift") + F.col("m"))
+    sums = lambda x, at, name: rows.select("session_id", F.col("batch_id").alias(x), F.col("rank").alias(at), F.col("sum1").alias(f"{name}1"), F.col("sum2").alias(f"{name}2"))
+    j = j.join(sums("a", "shift", "low"), ["session_id", "a", "shift"], "left").join(sums("a", "end_a", "high"), ["session_id", "a", "end_a"], "left").join(sums("b", "m", "own"), ["session_id", "b", "m"], "left")
+    same = F.lit(True)
+    for i in (1, 2):
+        high = F.when(F.col("end_a") == F.col("size_a"), F.col(f"all{i}_a")).otherwise(F.col(f"high{i}"))
+        own = F.when(F.col("m") == F.col("size_b"), F.col(f"all{i}_b")).otherwise(F.col(f"own{i}"))
+        same = same & (high - F.col(f"low{i}") == own)
+    exact = F.coalesce(same & (F.col("shift") >= 0), F.lit(False))
+    kind = F.when(exact & (F.col("m") == F.col("size_b")), "inside").when(exact, "suffix_prefix").otherwise("tangled")
+    found = j.select("session_id", "a", "b", kind.alias("kind"), F.when(exact, F.col("m")).otherwise(F.col("found")).alias("shared"), exact.alias("exact"))
+    best = found.groupBy("session_id", "a", "b").agg(F.max(F.struct("exact", "shared", "kind")).alias("r"))
+    return best.select("session_id", "a", "b", "r.shared", "r.kind")
 
 
 def contigs(deliveries: DataFrame, kept: DataFrame) -> DataFrame:
-    """(session_id, batch_id, contig): fragments of one unambiguous path, or inside one, share a contig (its first batch).
+    """One row per fragment: (session_id, batch_id, contig, follows, shared, kind).
 
-    Most fragments overlap none and are their own contig; only the linked ones are resolved.
+    Fragments of one unambiguous path, or inside one, share a contig (named after its first fragment). ``follows`` is the
+    fragment that this one continues or lies in, ``kind`` how; ``alone`` where there is none, ``fork`` where another
+    continues the same one, ``tangled`` where a shared stretch differs.
     """
-    over = overlaps(deliveries, kept)
-    chain = over.where("kind = 'suffix_prefix'")
-    one_next = chain.groupBy("session_id", "a").agg(F.min("b").alias("b"), F.count("*").alias("n")).where("n = 1").drop("n")
-    one_before = chain.groupBy("session_id", "b").agg(F.min("a").alias("a"), F.count("*").alias("n")).where("n = 1").drop("n")
-    plain = one_next.join(one_before, ["session_id", "a", "b"]).select("session_id", "a", "b")
-    held = over.where("kind = 'inside' and a <> b").groupBy("session_id", "b").agg(F.min("a").alias("a"))
+    over = cut(overlaps(cut(ranked(deliveries, kept), "ranked")), "overlaps")
+    inside = F.col("kind") == "inside"
+    # Each fragment takes one link: the one that holds it whole, else the one it shares most with.
+    best = over.groupBy("session_id", F.col("b").alias("batch_id")).agg(F.max_by(F.struct("a", "shared", "kind"), F.struct(inside, F.col("kind") == "suffix_prefix", "shared", F.col("a"))).alias("l")).select("session_id", "batch_id", "l.*")
+    takers = best.where("kind = 'suffix_prefix'").groupBy("session_id", "a").agg(F.count("*").alias("takers"))
+    told = best.join(takers, ["session_id", "a"], "left").withColumn("kind", F.when((F.col("kind") == "suffix_prefix") & (F.col("takers") > 1), "fork").otherwise(F.col("kind"))).drop("takers")
+    told = cut(told, "links")
     name = lambda c: F.concat_ws("\u001f", "session_id", c)
-    links = cut(held.unionByName(plain).groupBy("session_id", "b").agg(F.min("a").alias("a")).select(name("b").alias("id"), name("a").alias("parent_id")), "overlaps")
+    links = told.where("kind in ('inside', 'suffix_prefix')").select(name("batch_id").alias("id"), name("a").alias("parent_id"))
+    every = deliveries.select(*BATCH).distinct()
     if links.isEmpty():
-        return deliveries.sparkSession.createDataFrame([], "session_id string, batch_id string, contig string")
-    both = links.unionByName(links.select(F.col("parent_id").alias("id"), F.lit(None).cast("string").alias("parent_id")))
-    part = lambda c, i: F.element_at(F.split(c, "\u001f"), i)
-    return resolve(both).select(part("id", 1).alias("session_id"), part("id", 2).alias("batch_id"), part("root", 2).alias("contig"))
+        roots = deliveries.sparkSession.createDataFrame([], "session_id string, batch_id string, contig string")
+    else:
+        both = links.unionByName(links.select(F.col("parent_id").alias("id"), F.lit(None).cast("string").alias("parent_id")))
+        part = lambda c, i: F.element_at(F.split(c, "\u001f"), i)
+        roots = resolve(both).select(part("id", -2).alias("session_id"), part("id", -1).alias("batch_id"), part("root", -1).alias("contig"))
+    j = every.join(roots, BATCH, "left").join(told.withColumnRenamed("a", "follows"), BATCH, "left")
+    return j.select(*BATCH, F.coalesce("contig", "batch_id").alias("contig"), "follows", "shared", F.coalesce("kind", F.lit("alone")).alias("kind"))
 
 
 def part_facts(parts: DataFrame) -> DataFrame:
@@ -152,7 +189,7 @@ def assemble(messages: DataFrame, parts: DataFrame, hosts: DataFrame) -> DataFra
     """
     deliveries = cut(timed(messages, hosts), "deliveries")
     kept = cut(survivors(deliveries), "survivors")
-    joined = kept.join(contigs(deliveries, kept), ["session_id", "batch_id"], "left").withColumn("contig", F.coalesce("contig", "batch_id"))
+    joined = kept.join(contigs(deliveries, kept).select(*BATCH, "contig"), BATCH)
     both = joined.withColumn("present", F.lit(True)).join(part_facts(parts), KEY, "full")
     return both.select(*KEY, "role", "utc_us", "content", "contig", "copies", F.col("present").isNull().alias("orphan"), F.coalesce("n_parts", F.lit(0)).alias("n_parts"), F.coalesce("parts_ok", F.lit(False)).alias("parts_ok"), F.coalesce("has_text", F.lit(False)).alias("has_text"))
 
@@ -162,20 +199,21 @@ def verdicts(assembled: DataFrame, sessions: DataFrame, parts: DataFrame) -> Dat
     speaks = F.col("role").isin("user", "assistant")
     turn = speaks & F.col("has_text") & ~F.col("orphan")
     broken = F.col("orphan") | ((F.col("n_parts") > 0) & ~F.col("parts_ok")) | (speaks & (F.col("n_parts") == 0)) | (~F.col("orphan") & F.col("utc_us").isNull())
-    rows = assembled.select("session_id", "message_key", "utc_us", F.when(turn, F.col("role") == "user").alias("asks"), F.coalesce(broken, F.lit(False)).alias("broken"), "orphan", F.coalesce(F.floor(F.col("utc_us") / HOUR_US), F.lit(1 << 50)).alias("block"))
+    rows = assembled.select("session_id", "message_key", "utc_us", F.when(turn, F.col("role") == "user").alias("asks"), F.coalesce(broken, F.lit(False)).alias("broken"), "orphan", F.floor(F.col("utc_us") / HOUR_US).alias("block"))
     # Within a block: is a question followed by a question? Then block by block.
-    at = F.struct(F.col("utc_us").isNull(), "utc_us", "message_key")
-    w = Window.partitionBy("session_id", "block").orderBy(F.col("utc_us").isNull(), "utc_us", "message_key")
-    turns = rows.where("asks is not null").withColumn("before", F.lag("asks").over(w))
+    # A turn without a time breaks its conversation wherever it stands, so none is put in order.
+    at = F.struct("utc_us", "message_key")
+    w = Window.partitionBy("session_id", "block").orderBy("utc_us", "message_key")
+    turns = rows.where("asks is not null and utc_us is not null").withColumn("before", F.lag("asks").over(w))
     spoken = turns.groupBy("session_id", "block").agg(F.max(F.coalesce(F.col("asks") & F.col("before"), F.lit(False))).alias("twice"), F.min_by("asks", at).alias("first"), F.max_by("asks", at).alias("last"))
     order = Window.partitionBy("session_id").orderBy("block")
     chained = spoken.withColumn("before", F.lag("last").over(order))
     told = chained.groupBy("session_id").agg(F.max(F.col("twice") | F.coalesce(F.col("before") & F.col("first"), F.lit(False))).alias("twice"), F.min_by("first", "block").alias("first"), F.max_by("last", "block").alias("last"))
-    flags = rows.groupBy("session_id").agg(F.max("broken").alias("broken"), F.min("orphan").alias("only_orphans"))
+    flags = rows.groupBy("session_id").agg(F.max("broken").alias("broken"), F.min("orphan").alias("only_orphans"), F.max(F.col("asks").isNotNull()).alias("any_turn"))
     every = sessions.where("id is not null").select(F.col("id").alias("session_id")).distinct().withColumn("listed", F.lit(True)).join(flags, "session_id", "full").where("listed or not only_orphans")
     dangling = unanswered_calls(parts).withColumn("dangling", F.lit(True))
     j = every.join(told, "session_id", "left").join(dangling, "session_id", "left")
-    reason = F.when(F.col("first").isNull(), "empty").when(F.col("broken") | F.col("dangling") | ~F.col("first"), "broken").when(F.col("twice") | F.col("last"), "no_reply")
+    reason = F.when(~F.coalesce("any_turn", F.lit(False)), "empty").when(F.col("broken") | F.col("dangling") | ~F.col("first"), "broken").when(F.col("twice") | F.col("last"), "no_reply")
     return j.select("session_id", reason.alias("reason"))
 
 

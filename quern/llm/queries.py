@@ -22,8 +22,8 @@ def p2_conversations(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_fragments(spark: SparkSession, sf: str) -> DataFrame:
     messages, _, _, hosts = _archive(spark, sf)
-    deliveries = conversations.timed(messages, hosts)
-    return conversations.overlaps(deliveries, conversations.survivors(deliveries), every=True)
+    deliveries = cut(conversations.timed(messages, hosts), "deliveries")
+    return conversations.contigs(deliveries, cut(conversations.survivors(deliveries), "survivors"))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

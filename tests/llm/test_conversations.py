@@ -67,24 +67,53 @@ def test_turns_across_hours(spark):
     assert w.reasons() == {"r": "no_reply"}
 
 
-def test_fragments_overlap_and_merge(spark):
+def graph(spark, batches):
     w = World(spark)
-    for batch, keys in (("b1", (1, 2, 3)), ("b2", (3, 4, 5)), ("b3", (4,)), ("b9", (8, 9))):
+    for batch, keys in batches.items():
         for k in keys:
-            w.say("s", f"m{k}", "user", t(k), batch=batch)
+            w.say(batch[0], f"m{k:02d}", "user", t(k), batch=batch)
     m, _, _, hosts = w.frames()
     d = conv.timed(m, hosts)
-    kept = conv.survivors(d)
-    assert {(r.a, r.b, r.shared, r.kind) for r in conv.overlaps(d, kept).collect()} == {("b1", "b2", 1, "suffix_prefix"), ("b2", "b3", 1, "inside")}
-    assert {r.batch_id: r.contig for r in conv.contigs(d, kept).collect()} == {"b1": "b1", "b2": "b1", "b3": "b1"}
+    return {r.batch_id: (r.contig, r.follows, r.shared, r.kind) for r in conv.contigs(d, conv.survivors(d)).collect()}
 
 
-def test_every_pair_of_fragments_that_share_a_message(spark):
+def test_fragments_overlap_and_merge(spark):
+    """Each letter is a session: a chain, nested, a fork, a hole, equal fragments, overlapping copies of one message."""
+    got = graph(spark, {
+        "a1": (1, 2, 3), "a2": (3, 4, 5), "a3": (4,), "a9": (8, 9),
+        "b1": (1, 2, 3), "b2": (2, 3, 4), "b3": (3, 4, 5), "b4": (5, 6),
+        "c1": (1, 2, 3), "c2": (3, 4), "c3": (3, 5),
+        "d1": (1, 2, 4, 5), "d2": (4, 3, 5), "d3": (1, 5),
+        "e1": (1, 2), "e2": (1, 2), "e3": (2, 1, 3),
+        "f1": (1, 2, 3, 4, 5, 6), "f2": (2, 3, 4), "f3": (3,), "f4": (5, 6, 7), "f5": (6, 7),
+    })
+    assert {k: v for k, v in got.items() if k[0] == "a"} == {"a1": ("a1", None, None, "alone"), "a2": ("a1", "a1", 1, "suffix_prefix"), "a3": ("a1", "a2", 1, "inside"), "a9": ("a9", None, None, "alone")}
+    assert {k: v for k, v in got.items() if k[0] == "b"} == {"b1": ("b1", None, None, "alone"), "b2": ("b1", "b1", 2, "suffix_prefix"), "b3": ("b1", "b2", 2, "suffix_prefix"), "b4": ("b1", "b3", 1, "suffix_prefix")}
+    assert got["c2"] == ("c2", "c1", 1, "fork") and got["c3"] == ("c3", "c1", 1, "fork")
+    assert got["d2"][3] == "tangled" and got["d3"][3] == "tangled" and got["d2"][0] == "d2"
+    assert got["e3"] == ("e3", None, None, "alone") and got["e1"] == ("e3", "e3", 2, "inside") and got["e2"] == ("e3", "e3", 2, "inside")
+    assert got["f2"] == ("f1", "f1", 3, "inside") and got["f3"][3] == "inside" and got["f4"] == ("f1", "f1", 2, "suffix_prefix") and got["f5"] == ("f1", "f4", 2, "inside")
+
+
+def test_what_is_in_no_contig_is_a_gap(spark, monkeypatch):
+    w = World(spark)
+    for s in ("s", "z"):
+        w.say(s, "m1", "user", t(1), batch="b1")
+        w.say(s, "m2", "assistant", t(2), batch="b1")
+        w.say(s, "m2", "assistant", t(2), batch="b2")
+        w.say(s, "m3", "user", t(3), batch="b2")
+        w.say(s, "m4", "assistant", t(4), batch="b2")
+    w.p = sorted(set(w.p))
+    assert w.reasons() == {}
+    whole = conv.contigs
+    monkeypatch.setattr(conv, "contigs", lambda d, k: whole(d, k).where("session_id <> 'z' or batch_id <> 'b2'"))
+    assert w.reasons() == {"z": "broken"}
+
+
+def test_untimed_and_unbatched_messages(spark):
     w = World(spark)
-    for batch, keys in {"b1": (1, 2, 3), "b2": (2, 3, 4), "b3": (3, 4, 5)}.items():
-        for n in keys:
-            w.say("s", f"m{n}", "user", t(n), batch=batch)
-    messages, _, _, hosts = w.frames()
-    d = conv.timed(messages, hosts)
-    rows = {(r.a, r.b): (r.shared, r.kind) for r in conv.overlaps(d, conv.survivors(d), every=True).collect()}
-    assert rows == {("b1", "b2"): (2, "suffix_prefix"), ("b2", "b3"): (2, "suffix_prefix"), ("b1", "b3"): (1, "suffix_prefix")}
+    w.say("s", "m1", "user", "nonsense", batch=None)
+    w.say("s", "m2", "assistant", t(2), batch=None)
+    w.say("r", "m1", "user", t(1), batch=None)
+    w.say("r", "m2", "assistant", t(2), batch="b1")
+    assert w.reasons() == {"s": "broken"}
