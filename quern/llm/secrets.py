@@ -10,8 +10,10 @@ plain ids, public keys, certificates, references and placeholders are excluded.
 The dictionary is the vocabulary of a public tokenizer (``vocabulary``: a path), whose
 ranks serve as word costs; it is never copied.
 
-A JVM-side filter passes on only texts that hold any trigger at all; it is no narrower than
-the detectors, so nothing they would find is passed over. JSON is scanned string
+A name on no list is no hindrance: a long literal that is assigned to it and that words leave mostly unexplained is a
+secret too, unless the name says that its value is open (an id, a digest, a version).
+
+Each detector runs only where a sign it cannot do without occurs (``may_hold``). JSON is scanned string
 by string with its escapes decoded; the mask goes back into the raw text, so every other
 character, white space included, stays as it was.
 
@@ -37,15 +39,6 @@ MASK = "[MASKED_SECRET]"
 #: Bits a value needs beyond its dictionary words before it counts as a secret.
 LEAST_BITS = 26.0
 
-#: Java regular expression of everything a credential can hang on; texts without it are never sent to Python. Each
-#: detector below has its part here, no narrower than itself: keywords, the name ``sig`` in a query, user information,
-#: key blocks, commands and formats. JSON may write ASCII as escapes, so a text with such escapes is sent as it is.
-TRIGGER = (
-    r"(?i)pass|pwd|secret|token|key|auth|credential|kennwort|contrase|[?&.-]sig"
-    r"|://[^\s/@:]*:[^\s/@]+@|-----BEGIN|mysql|mariadb|sshpass|\\u00[2-7]|\\/"
-    r"|(?-i:gh[pousr]_|github_pat_|glpat-|xox[abeprs]-|sk-|[sr]k_(?:live|test)_|npm_|pypi-|A[KS]IA|AIza|eyJ)"
-)
-
 _PEM = re.compile(r"-----BEGIN (?P<kind>[A-Z0-9 ]+)-----(?P<body>.*?)(?:-----END (?P=kind)-----|\Z)", re.S)
 #: Formats that are credentials by themselves.
 _FORMAT = re.compile(
@@ -54,10 +47,9 @@ _FORMAT = re.compile(
 _USERINFO = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]{1,20}://(?P<user>[^\s:/@\"'<>]*):(?P<value>[^\s@/\"'<>]+)@")
 #: Steps through command lines: a client's name, the end of its line (one that is not continued), a password.
 _MYSQL = re.compile(r"""\b(?P<command>mysql|mysqldump|mysqladmin|mariadb|sshpass)\b|(?P<end>[;|]|(?<!\\)\n(?!-p[^\s"';|]))|(?<=\s)-p(?P<value>[^\s"';|]+)""")
-#: What a key's name must contain, and what names are made of; a name is read at most NAME characters to either side.
+#: What a key's name must contain, and what names are made of.
 _KEYWORD = re.compile(r"pass|pwd|secret|token|key|auth|credential|kennwort|contrase|\bsig", re.I)
-NAME = 64
-_BACK, _ON = re.compile(r"[\w.\-]*$"), re.compile(r"[\w.\-]*")
+_ON = re.compile(r"[\w.\-]*")
 #: What may stand between a key and its value.
 _LINK = re.compile(
     r"""["'`\]]*(?:\s*\n\s*value:\s*|:\s*\n\s*value:\s*|["'\s]*\bvalue\s*=\s*|\s*:\s*&?'?[\w<>\[\]]+\s+=(?!=)\s*|\s*(?:=>|:=|==?|:|,|>)\s*|\s+(?:to|is|was|ist|lautet|est|es)\s+|[ \t]+)(?:(?:Bearer|Basic|Token)\s+)?(?P<quote>["'`]?)"""
@@ -69,6 +61,11 @@ _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 #: The rest of a literal that is written in several pieces: "abc" + \ "def".
 _CONTINUED = re.compile(r"""["']\s*(?:\+|\.\.|&|\\)\s*\\?\s*["'](?P<value>[^"'\n]{4,})["']""")
 
+#: A literal that is assigned to any name; see ``_unlisted``.
+_LITERAL = re.compile(r"""[=:]>?[ \t\\]*["'`]?(?P<value>[^\s"'`<>,;(){}\[\]\\|]{12,})""")
+#: Words of names whose values are random by nature and open to all.
+_OPEN_WORDS = frozenset("id ids uuid guid hash digest checksum sha md5 crc etag integrity commit rev revision fingerprint thumbprint cursor version image img icon data src href url uri link ref trace span request session build job run node cert certificate pem public csr mappings slug path file".split())
+
 _SECRET_WORDS = {"password", "passwd", "passwort", "pass", "pwd", "passphrase", "passcode", "secret", "token", "kennwort", "contrasena", "contraseña", "credential", "credentials", "auth", "authorization", "apikey"}
 _KEY_WORDS = {"api", "access", "private", "secret", "signing", "sign", "encryption", "encrypt", "master", "auth", "service", "shared", "account", "storage", "deploy", "hmac", "license"}
 _NOT_SECRET = {"id", "ids", "name", "field", "file", "path", "type", "url", "uri", "count", "length", "limit", "ttl", "expiry", "header", "policy", "tokens", "tokenizer", "public", "csrf", "prompt", "label", "hint", "min", "max", "hash", "digest", "author", "authors", "authority", "keyboard", "etag", "reset"}
@@ -100,16 +97,21 @@ def _letter_bits(c: str) -> float:
     return 3.3 if c.isdigit() else 5.2 if c.isalpha() else 4.0
 
 
+@functools.cache
+def longest(vocabulary: str = VOCABULARY) -> int:
+    return max(map(len, dictionary(vocabulary)))
+
+
 @functools.lru_cache(maxsize=50_000)
 def segment(text: str, vocabulary: str = VOCABULARY) -> tuple[tuple[str, ...], float, int]:
     """Cheapest split into dictionary words and single characters: (words, bits, unexplained characters)."""
-    words, low = dictionary(vocabulary), text.lower()
+    words, low, most = dictionary(vocabulary), text.lower(), longest(vocabulary)
     n = len(low)
     best: list[tuple[float, int, bool]] = [(0.0, 0, False)] + [(math.inf, 0, False)] * n
     for end in range(1, n + 1):
         base = best[end - 1][0] + _letter_bits(low[end - 1])
         choice = (base, end - 1, False)
-        for start in range(max(0, end - 18), end - 1):
+        for start in range(max(0, end - most), end - 1):
             cost = words.get(low[start:end])
             if cost is not None and best[start][0] + cost < choice[0]:
                 choice = (best[start][0] + cost, start, True)
@@ -141,20 +143,20 @@ def names_secret(key: str, vocabulary: str = VOCABULARY) -> bool:
 
 def residual(text: str, vocabulary: str = VOCABULARY) -> tuple[float, int]:
     """Bits and unexplained characters as ``segment`` finds them, in little memory for a text of any length."""
-    words, low = dictionary(vocabulary), text.lower()
-    bits, plain = [0.0], [0]  # of the ends from ``first`` on; no word is longer than 18
+    words, low, most = dictionary(vocabulary), text.lower(), longest(vocabulary)
+    bits, plain = [0.0], [0]  # of the ends from ``first`` on
     first = 0
     for end in range(1, len(low) + 1):
         best, count = bits[-1] + _letter_bits(low[end - 1]), plain[-1] + 1
-        for start in range(max(0, end - 18), end - 1):
+        for start in range(max(0, end - most), end - 1):
             cost = words.get(low[start:end])
             if cost is not None and bits[start - first] + cost < best:
                 best, count = bits[start - first] + cost, plain[start - first]
         bits.append(best)
         plain.append(count)
         if len(bits) > 4096:
-            first += len(bits) - 18
-            bits, plain = bits[-18:], plain[-18:]
+            first += len(bits) - most
+            bits, plain = bits[-most:], plain[-most:]
     return bits[-1], plain[-1]
 
 
@@ -185,27 +187,70 @@ def _command_passwords(text: str) -> Iterator[tuple[int, int]]:
             inside = False
 
 
+def _unlisted(text: str, vocabulary: str) -> Iterator[tuple[int, int]]:
+    """Literals assigned to a name that is on no list: secrets where most of a long literal is left unexplained by words.
+
+    Small and capital letters and digits must be mixed, as they are in no hexadecimal digest, number or plain id.
+    """
+    done = 0
+    for m in _LITERAL.finditer(text):
+        value = m["value"].rstrip(".:")
+        if not (any(map(str.isdigit, value)) and any(map(str.isupper, value)) and any(map(str.islower, value))) or value[:2] == "//":
+            continue
+        at = m.start()
+        while at > done and text[at - 1] in " \t\"'`]\\:=":
+            at -= 1
+        start = at
+        while start > done and (text[start - 1].isalnum() or text[start - 1] in "_-."):
+            start -= 1
+        done = m.end()
+        if start == at or not _OPEN_WORDS.isdisjoint(w.lower() for w in _CAMEL.findall(text[start:at])):
+            continue
+        _, plain = residual(value, vocabulary)
+        if plain >= 10 and plain >= 0.6 * len(value) and is_secret(value, vocabulary):
+            yield m.start("value"), m.start("value") + len(value)
+
+
+_KEYWORDS = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "kennwort", "contrase", "sig")
+_PREFIXES = ("gh", "glpat-", "xox", "sk-", "sk_", "rk_", "npm_", "pypi-", "AKIA", "ASIA", "AIza", "eyJ")
+_COMMANDS = ("mysql", "mariadb", "sshpass")
+
+
+def may_hold(text: str) -> bool:
+    """Can any detector match? Each has its own necessary sign here; escapes of JSON may hide one, so they count as one."""
+    low = text.lower()
+    return (
+        "-----BEGIN" in text or "://" in text or ":\\/" in text or "\\u00" in low or any(k in low for k in _KEYWORDS) or any(c in text for c in _COMMANDS) or any(p in text for p in _PREFIXES)
+        or (("=" in text or ":" in text) and _LITERAL.search(text) is not None)
+    )
+
+
 def spans(text: str, vocabulary: str = VOCABULARY) -> list[tuple[int, int]]:
     """Non-overlapping spans of credentials in one piece of text."""
     out: list[tuple[int, int]] = []
     blocked: list[tuple[int, int]] = []
-    for m in _PEM.finditer(text):
+    for m in _PEM.finditer(text) if "-----BEGIN" in text else ():
         blocked.append(m.span())
         if "PRIVATE KEY" in m["kind"] and m["body"].strip(" \r\n\\n"):
             out.append(m.span("body"))
     free = lambda a, b: all(b <= x or a >= y for x, y in blocked) and all(b <= x or a >= y for x, y in out)
-    for m in _FORMAT.finditer(text):
+    for m in _FORMAT.finditer(text) if any(p in text for p in _PREFIXES) else ():
         if free(*m.span()) and "xxxx" not in m[0].lower():
             out.append(m.span())
-    for a, b in [*(m.span("value") for m in _USERINFO.finditer(text)), *_command_passwords(text)]:
+    users = (m.span("value") for m in _USERINFO.finditer(text)) if "://" in text else ()
+    commands = _command_passwords(text) if any(c in text for c in _COMMANDS) else ()
+    for a, b in [*users, *commands]:
         if free(a, b) and is_secret(text[a:b], vocabulary):
             out.append((a, b))
     done = 0
-    for m in _KEYWORD.finditer(text):
+    low = text.lower()
+    for m in _KEYWORD.finditer(text) if any(k in low for k in _KEYWORDS) else ():
         if m.start() < done:
             continue
-        start = m.start() - len(_BACK.search(text[max(done, m.start() - NAME) : m.start()])[0])
-        done = m.end() + len(_ON.match(text[m.end() : m.end() + NAME])[0])
+        start = m.start()
+        while start > done and (text[start - 1].isalnum() or text[start - 1] in "_.-"):
+            start -= 1
+        done = _ON.match(text, m.end()).end()
         whole = text[start:done]
         at = start + len(whole.rstrip(".-"))
         name = whole.strip(".-")
@@ -223,6 +268,8 @@ def spans(text: str, vocabulary: str = VOCABULARY) -> list[tuple[int, int]]:
         a, b = value.start(), value.start() + len(literal)
         if literal and free(a, b) and is_secret(literal, vocabulary):
             out.append((a, b))
+    if "=" in text or ":" in text:
+        out += [s for s in _unlisted(text, vocabulary) if free(*s)]
     for _, b in list(out):
         while (m := _CONTINUED.match(text, b)) and free(*m.span("value")):
             out.append(m.span("value"))
@@ -261,6 +308,8 @@ def json_spans(raw: str, vocabulary: str = VOCABULARY) -> list[tuple[int, int]]:
 
 
 def field_spans(text: str, field: str, vocabulary: str = VOCABULARY) -> list[tuple[int, int]]:
+    if not may_hold(text):
+        return []
     return json_spans(text, vocabulary) if field == "result" else spans(text, vocabulary)
 
 
@@ -272,10 +321,11 @@ def mask(text: str, found: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _candidates(parts: DataFrame, keep: list[str]) -> DataFrame:
+def _fields(parts: DataFrame) -> DataFrame:
+    """(session_id, message_id, part_id, field_name, value) of every text and result, in one pass over the table."""
     both = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in ("text", "result")])
-    one = parts.select(*keep, F.explode(F.filter(both, lambda x: x["value"].rlike(TRIGGER))).alias("f"))
-    return one.select(*keep, "f.field_name", "f.value")
+    rows = parts.select("session_id", "message_id", F.col("id").alias("part_id"), F.explode(F.filter(both, lambda x: x["value"].isNotNull())).alias("f"))
+    return rows.select("session_id", "message_id", "part_id", "f.field_name", "f.value")
 
 
 _FOUND = pa.schema([(c, pa.string()) for c in ("session_id", "message_id", "part_id", "field_name")])
@@ -290,8 +340,7 @@ def find(parts: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             hit = [i for i, (f, v) in enumerate(zip(fields, values, strict=True)) if field_spans(v, f, vocabulary)]
             yield pa.RecordBatch.from_arrays([c.cast(pa.string()) for c in batch.take(pa.array(hit, pa.int64())).columns[:4]], schema=_FOUND)
 
-    narrow = parts.select("session_id", "message_id", F.col("id").alias("part_id"), "text", "result")
-    return _candidates(narrow, ["session_id", "message_id", "part_id"]).mapInArrow(task, "session_id string, message_id string, part_id string, field_name string").distinct()
+    return _fields(parts).mapInArrow(task, "session_id string, message_id string, part_id string, field_name string").distinct()
 
 
 def redact(parts: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -306,9 +355,4 @@ def redact(parts: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 values.append(mask(v, found))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(counts, pa.int64()), pa.array(values, pa.string())], names=["session_id", "message_id", "part_id", "field_name", "masked", "value"])
 
-    keep = ["session_id", "message_id", "part_id"]
-    narrow = parts.select("session_id", "message_id", F.col("id").alias("part_id"), "text", "result")
-    touched = _candidates(narrow, keep).mapInArrow(task, "session_id string, message_id string, part_id string, field_name string, masked bigint, value string")
-    both = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in ("text", "result")])
-    rest = narrow.select(*keep, F.explode(F.filter(both, lambda x: x["value"].isNotNull() & ~x["value"].rlike(TRIGGER))).alias("f"))
-    return touched.unionByName(rest.select(*keep, "f.field_name", F.lit(0).cast("bigint").alias("masked"), "f.value"))
+    return _fields(parts).mapInArrow(task, "session_id string, message_id string, part_id string, field_name string, masked bigint, value string")

@@ -49,6 +49,14 @@ def test_literals_in_pieces_are_masked_whole():
         assert "ghp_" not in masked and "xig0" not in masked and "next = 1" in masked
 
 
+def test_a_name_on_no_list_is_no_hindrance():
+    for name in ("psk", "clave", "senha", "key_material", "mot_de_passe", "x", "very_" * 40 + "plain", "DOOR_CODE"):
+        for line in (f'{name} = "Xk39fLqP02vnTz81"', f"{name}: Xk39fLqP02vnTz81", json.dumps({name: "Xk39fLqP02vnTz81"}), f"{name}=Xk39fLqP02vnTz81\n"):
+            assert [line[a:b] for a, b in secrets.field_spans(line, "result")] == ["Xk39fLqP02vnTz81"], line
+    for line in ('request_id = "Xk39fLqP02vnTz81"', "etag: Xk39fLqP02vnTz81", 'image: "Xk39fLqP02vnTz81"', 'path = "src/Main/HttpServer2.java"', 'title = "ReleaseNotes2024Final"', "sha: 61e60c39edc1ab5b2a45877bc1c9009015ccd2ff", "at = 2024-01-01T10:00:00Z"):
+        assert secrets.field_spans(line, "text") == [], line
+
+
 def test_long_literals_and_long_commands_are_read_whole():
     letters = "".join(chr(97 + (i * i * 7 + i * 3 + i // 5) % 26) + ("!" if i % 4 == 0 else "") for i in range(800))
     assert secrets.spans(f'password = "{letters}"') == [(12, 12 + len(letters))]
