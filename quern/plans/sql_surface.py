@@ -5,6 +5,10 @@ subqueries inside expressions) is checked against a list of allowed nodes, so an
 is not a query is refused before it is analysed. Relations must be views of the archive or
 CTEs of the statement itself: paths, catalogs and commands cannot be reached. Functions that
 run code (reflect and the like, TRANSFORM) are refused.
+
+The views live under their plain names in a Spark session of the surface's own, so statements run as
+they are written. Names that Spark spells otherwise are changed in the statement's code only, never in
+literals, quoted names or comments (``pieces``). Double quotes enclose identifiers.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.json_getters import MAX_KEYS
 from quern.operators import bm25
 from quern.session import fresh_path
 
@@ -30,6 +35,7 @@ _NODES = frozenset(
     "UnresolvedTableValuedFunction UnresolvedSubqueryColumnAliases WithWindowDefinition Pivot Unpivot Window Deduplicate UnresolvedHint UnresolvedTVFAliases Sample LocalRelation Range UnresolvedOrdinal RepartitionByExpression Repartition UnionLoop UnresolvedTVFAliases".split()
 )
 _FTS = r"(\b(?:from|join)\s+)fts\s*\(\s*'(\w+)'\s*,\s*'((?:[^']|'')*)'\s*\)"
+_ALIAS = re.compile(r"\s+(?:as\s+)?(?!where\b|join\b|on\b|group\b|order\b|limit\b|left\b|right\b|inner\b|full\b|cross\b|union\b|having\b|using\b|semi\b|anti\b|lateral\b|natural\b|intersect\b|except\b|window\b|offset\b)[A-Za-z_]", re.I)
 _CODE = frozenset("reflect java_method try_reflect try_java_method python_udf".split())
 _JSON = ("options", "params", "result", "variant_data")
 #: Error classes of Spark and what to tell the caller; the first that fits is used.
@@ -37,7 +43,7 @@ HINTS = (
     ("UNRESOLVED_COLUMN", "columns are those of SELECT * FROM information_schema_columns; conversational text is messages.search_text, part bodies are parts.text, parts.params and parts.result"),
     ("UNRESOLVED_ROUTINE", "JSON is read with json_get_string|int|float|bool(col, key), json_get(col, key) and json_extract(col, '$.a.b'); ranked text search is fts('messages', 'words') in FROM"),
     ("TABLE_OR_VIEW_NOT_FOUND", "the tables are sessions, messages and parts"),
-    ("WRONG_NUM_ARGS", "json_get_string(col, key) takes a column and a key; deeper values are read with json_extract(col, '$.a.b')"),
+    ("WRONG_NUM_ARGS", "json_get_string(col, key, ..) takes a column and one to six keys or indexes; whole paths are read with json_extract(col, '$.a.b')"),
     ("DIVIDE_BY_ZERO", "guard the divisor with nullif(x, 0) or use try_divide"),
     ("CAST_INVALID_INPUT", "use try_cast to get NULL where a value does not fit"),
     ("MISSING_AGGREGATION", "every selected column must be grouped or aggregated; any_value(col) picks one"),
@@ -45,6 +51,25 @@ HINTS = (
 )
 
 
+#: Date codes of ``to_char`` and how Java's formatter writes them; %% last.
+_STRFTIME = {"Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "H": "HH", "I": "hh", "M": "mm", "S": "ss", "f": "SSSSSSSSS", "B": "MMMM", "b": "MMM", "A": "EEEE", "a": "EEE", "j": "DDD", "p": "a", "F": "yyyy-MM-dd", "T": "HH:mm:ss", "%": "%"}
+#: Names of functions that Spark calls otherwise.
+_RENAMED = {"approx_distinct": "approx_count_distinct", "approx_percentile_cont": "approx_percentile", "to_char": "quern_to_char", "log": "quern_log"}
+_PIECE = re.compile(r"""(?P<text>'(?:[^'\\]|\\.|'')*')|(?P<name>"(?:[^"]|"")*"|`[^`]*`)|(?P<note>--[^\n]*|/\*.*?\*/)""", re.S)
+
+
+def pieces(sql: str) -> Iterator[tuple[str, str]]:
+    """The statement in pieces: ``code``, ``text`` (string literals), ``name`` (quoted identifiers) and ``note`` (comments)."""
+    at = 0
+    for m in _PIECE.finditer(sql):
+        if m.start() > at:
+            yield "code", sql[at : m.start()]
+        yield m.lastgroup, m[0]
+        at = m.end()
+    if at < len(sql):
+        yield "code", sql[at:]
+
+
 class SqlRefused(ValueError):
     """The statement is not allowed."""
 
@@ -92,9 +117,15 @@ class SqlSurface:
     """SQL over sessions, messages and parts. ``tables`` hold the canonical columns; ids are renamed to ``session_id`` and ``message_id``."""
 
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], timeout: int = TIMEOUT):
-        self.spark, self.timeout = spark, max(LEAST_TIMEOUT, min(timeout, MOST_TIMEOUT))
-        self.prefix = f"q{uuid.uuid4().hex[:8]}_"
+        self.timeout = max(LEAST_TIMEOUT, min(timeout, MOST_TIMEOUT))
+        self.spark = spark.newSession()
+        for key, value in spark.conf.getAll.items():
+            if key.startswith(("spark.sql.", "quern.")) and spark.conf.isModifiable(key) or key.startswith("quern."):
+                self.spark.conf.set(key, value)
+        self.spark.conf.set("spark.sql.ansi.enabled", "true")
+        self.spark.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
         self.views: dict[str, DataFrame] = {}
+        self._scored: set[str] = set()
         for name, df in tables.items():
             key = {"messages": "message_id", "sessions": "session_id"}.get(name)
             if key and "id" in df.columns:
@@ -103,14 +134,29 @@ class SqlSurface:
         rows = [(t, c, d) for t, df in self.views.items() for c, d in df.dtypes]
         self.views["information_schema_columns"] = spark.createDataFrame(rows, "table_name string, column_name string, data_type string")
         for name, df in self.views.items():
-            df.createOrReplaceTempView(self.prefix + name)
+            self._adopt(df, name)
         self._functions()
 
+    def _adopt(self, df: DataFrame, name: str) -> None:
+        """Make a DataFrame of any session a view of this one."""
+        jdf = self.spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.spark._jsparkSession, df._jdf.queryExecution().analyzed())
+        DataFrame(jdf, self.spark).createOrReplaceTempView(name)
+
     def _functions(self) -> None:
         getters = {"string": "STRING", "int": "BIGINT", "float": "DOUBLE", "bool": "BOOLEAN"}
+        keys = "k1 STRING" + "".join(f", k{i} STRING DEFAULT NULL" for i in range(2, MAX_KEYS + 1))
+        step = "CASE WHEN {k} IS NULL THEN '' WHEN try_cast({k} AS INT) IS NULL THEN concat('[\\'', {k}, '\\']') ELSE concat('[', {k}, ']') END"
+        path = "concat('$', " + ", ".join(step.format(k=f"k{i}") for i in range(1, MAX_KEYS + 1)) + ")"
+        pattern = "f"
+        for i, code in enumerate(_STRFTIME):
+            pattern = f"replace({pattern}, '%{code}', '{chr(0xE000 + i)}')"
+        pattern = f"regexp_replace({pattern}, '([A-Za-z]+)', '\\'$1\\'')"
+        for i, java in enumerate(_STRFTIME.values()):
+            pattern = f"replace({pattern}, '{chr(0xE000 + i)}', '{java}')"
+        micros = "(extract(DAY FROM width) * 86400000000 + extract(HOUR FROM width) * 3600000000 + extract(MINUTE FROM width) * 60000000 + CAST(extract(SECOND FROM width) * 1000000 AS BIGINT))"
         define = [
-            *[f"json_get_{n}(j STRING, k STRING) RETURNS {t} RETURN try_cast(CASE WHEN try_cast(k AS INT) IS NULL THEN get_json_object(j, concat('$[\\'', k, '\\']')) ELSE get_json_object(j, concat('$[', k, ']')) END AS {t})" for n, t in getters.items()],
-            "json_get(j STRING, k STRING) RETURNS STRING RETURN CASE WHEN try_cast(k AS INT) IS NULL THEN get_json_object(j, concat('$[\\'', k, '\\']')) ELSE get_json_object(j, concat('$[', k, ']')) END",
+            *[f"json_get_{n}(j STRING, {keys}) RETURNS {t} RETURN try_cast(get_json_object(j, {path}) AS {t})" for n, t in getters.items()],
+            f"json_get(j STRING, {keys}) RETURNS STRING RETURN get_json_object(j, {path})",
             "json_extract(j STRING, p STRING) RETURNS STRING RETURN get_json_object(j, p)",
             "json_array_contains(j STRING, k STRING, v STRING) RETURNS BOOLEAN RETURN array_contains(from_json(get_json_object(j, concat('$.', k)), 'array<string>'), v)",
             "json_array_count(j STRING, k STRING) RETURNS INT RETURN json_array_length(get_json_object(j, concat('$.', k)))",
@@ -118,8 +164,10 @@ class SqlSurface:
             "starts_with(s STRING, p STRING) RETURNS BOOLEAN RETURN startswith(s, p)",
             "ends_with(s STRING, p STRING) RETURNS BOOLEAN RETURN endswith(s, p)",
             "regexp_match(s STRING, p STRING) RETURNS ARRAY<STRING> RETURN CASE WHEN regexp_like(s, p) THEN regexp_extract_all(s, p, 0) END",
-            "date_bin(width INTERVAL DAY TO SECOND, t TIMESTAMP, origin TIMESTAMP) RETURNS TIMESTAMP RETURN timestamp_micros(unix_micros(origin) + CAST(floor((unix_micros(t) - unix_micros(origin)) / (extract(DAY FROM width) * 86400000000 + extract(HOUR FROM width) * 3600000000 + extract(MINUTE FROM width) * 60000000 + CAST(extract(SECOND FROM width) * 1000000 AS BIGINT))) AS BIGINT) * (extract(DAY FROM width) * 86400000000 + extract(HOUR FROM width) * 3600000000 + extract(MINUTE FROM width) * 60000000 + CAST(extract(SECOND FROM width) * 1000000 AS BIGINT)))",
+            f"date_bin(width INTERVAL DAY TO SECOND, t TIMESTAMP, origin TIMESTAMP) RETURNS TIMESTAMP RETURN timestamp_micros(unix_micros(origin) + CAST(floor((unix_micros(t) - unix_micros(origin)) / {micros}) AS BIGINT) * {micros})",
             "age(a TIMESTAMP, b TIMESTAMP) RETURNS INTERVAL DAY TO SECOND RETURN a - b",
+            f"quern_to_char(t TIMESTAMP, f STRING) RETURNS STRING RETURN date_format(t, {pattern})",
+            "quern_log(a DOUBLE, b DOUBLE DEFAULT NULL) RETURNS DOUBLE RETURN CASE WHEN b IS NULL THEN log10(a) ELSE log(a, b) END",
         ]
         for text in define:
             self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {text}")
@@ -151,13 +199,14 @@ class SqlSurface:
                 raise SqlRefused(f"only queries are allowed, not {kind}")
         for name in relations:
             plain = name.lower().removeprefix("information_schema.")
-            if plain not in named and plain not in self.views and plain.replace("columns", "information_schema_columns") not in self.views and not name.startswith(self.prefix):
+            if plain not in named and plain not in self.views and plain.replace("columns", "information_schema_columns") not in self.views and name not in self._scored:
                 raise SqlRefused(f"no table {name}; the tables are {', '.join(sorted(self.views))}")
         self._check_text(body)
         return bool(explain)
 
     def _check_text(self, body: str) -> None:
         columns = "|".join(_JSON)
+        body = "".join(t if kind != "text" or t.startswith(("'%", "'$'")) else "''" for kind, t in pieces(body) if kind != "note")
         if re.search(rf"\bselect\b(?:(?!\bfrom\b).)*(?<![\w.'])(?:\w+\.)?vector\b(?!\s*\()", body, re.I | re.S):
             raise SqlRefused("the column vector cannot be selected; it may be used in WHERE")
         if re.search(rf"\bcast\s*\(\s*(?:\w+\.)?(?:{columns})\s+as\b|(?:{columns})\s*::", body, re.I):
@@ -185,30 +234,37 @@ class SqlSurface:
                 scored = bm25.scores(df, keys, "search_text", clause["match"]["terms"], operator=clause["match"].get("operator", "or").lower())
             else:
                 raise SqlRefused("fts takes words, a match or a boolean query; phrases are not indexed")
-            name = f"{self.prefix}fts_{uuid.uuid4().hex[:8]}"
-            df.join(scored.withColumnRenamed("score", "_score"), keys).createOrReplaceTempView(name)
-            return lead + name
-
-        out = re.sub(_FTS, swap, body, flags=re.I)
-        return out
-
-    def _bind(self, body: str) -> str:
-        body = re.sub(r"\binformation_schema\.columns\b", "information_schema_columns", body, flags=re.I)
-        body = re.sub(r"\bapprox_distinct\s*\(", "approx_count_distinct(", body, flags=re.I)
-        body = re.sub(r"\bapprox_percentile_cont\s*\(", "approx_percentile(", body, flags=re.I)
-        for name in self.views:
-            body = re.sub(rf"\b(from|join|,)(\s+){name}\b(?!\s*\()", lambda m, name=name: f"{m[1]}{m[2]}{self.prefix}{name}" + ("" if re.match(r"\s+(?:as\s+)?(?!where\b|join\b|on\b|group\b|order\b|limit\b|left\b|right\b|inner\b|full\b|cross\b|union\b|having\b|using\b|semi\b|anti\b|lateral\b|natural\b|intersect\b|except\b|window\b|offset\b|pivot\b|tablesample\b)[A-Za-z_]", body[m.end() :], re.I) else f" AS {name}"), body, flags=re.I)
-        return body
+            name = f"fts_{uuid.uuid4().hex[:12]}"
+            self._adopt(df.join(scored.withColumnRenamed("score", "_score"), keys), name)
+            self._scored.add(name)
+            return f"{lead}{name}" + ("" if _ALIAS.match(body, m.end()) else " AS fts")
+
+        code, at = set(), 0
+        for kind, text in pieces(body):
+            if kind == "code":
+                code.update(range(at, at + len(text)))
+            at += len(text)
+        return re.sub(_FTS, lambda m: swap(m) if m.start() in code else m[0], body, flags=re.I)
+
+    def _spelled(self, body: str) -> str:
+        """The statement in Spark's spelling; only code is touched."""
+        out = []
+        for kind, text in pieces(body):
+            if kind == "code":
+                text = re.sub(r"\binformation_schema\s*\.\s*columns\b", "information_schema_columns", text, flags=re.I)
+                text = re.sub(rf"\b({'|'.join(_RENAMED)})(\s*\()", lambda m: _RENAMED[m[1].lower()] + m[2], text, flags=re.I)
+            out.append(text)
+        return "".join(out)
 
     def frame(self, sql: str) -> DataFrame:
         """The checked statement as a DataFrame; vectors and binary columns are left out of a wildcard."""
         text = sql.strip().rstrip(";").strip()
         gated = re.sub(_FTS, r"\1\2", text, flags=re.I)
-        if re.search(r"\bfts\s*\(", gated, re.I):
+        if any(kind == "code" and re.search(r"\bfts\s*\(", t, re.I) for kind, t in pieces(gated)):
             raise SqlRefused("fts('messages', 'words') is a table: use it in FROM")
-        self.check(gated)
+        self.check(self._spelled(gated))
         try:
-            df = self.spark.sql(self._bind(self._fts(text)))
+            df = self.spark.sql(self._spelled(self._fts(text)))
         except PySparkException as error:
             raise SqlFailed(self.hint(error)) from error
         hidden = [f.name for f in df.schema.fields if f.dataType.simpleString() == "binary" or f.name == "vector"]
@@ -256,12 +312,11 @@ class SqlSurface:
     def inline(self, sql: str, limit: int = INLINE_ROWS) -> str:
         """Table of text with clipped cells; rows are halved until it fits the budget."""
         limit = max(1, min(limit, INLINE_MOST))
-        df = self.frame(sql)
-        got = self._timed(lambda: df.limit(limit + 1).collect())
+        columns, got = self._timed(lambda: ((df := self.frame(sql)).columns, df.limit(limit + 1).collect()))
         shown = got[:limit]
         clip = lambda v: "NULL" if v is None else (s if len(s) <= CELL else s[:CELL] + "...") if (s := re.sub(r"\s*\n\s*", " ", str(v))) is not None else ""
         while True:
-            lines = [" | ".join(df.columns), *(" | ".join(clip(v) for v in r) for r in shown)]
+            lines = [" | ".join(columns), *(" | ".join(clip(v) for v in r) for r in shown)]
             text = "\n".join(lines)
             if len(text.encode()) <= INLINE_BYTES or len(shown) <= 1:
                 break
@@ -269,8 +324,28 @@ class SqlSurface:
         return f"{len(shown)} rows{' (more follow)' if len(shown) < len(got) else ''}\n{text}"
 
     def explain(self, sql: str) -> str:
-        body = re.sub(r"^\s*explain\s+(?:analyze\s+|formatted\s+|extended\s+)?", "", sql, flags=re.I)
-        return self.frame(body)._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        """The formatted plan; after ANALYZE the plan as it ran, each operator with its counts."""
+        lead = re.match(r"\s*explain\s+(analyze\s+|formatted\s+|extended\s+)?", sql, re.I)
+        df = self.frame(sql[lead.end() :] if lead else sql)
+        execution = df._jdf.queryExecution()
+        if not (lead and lead[1] and lead[1].lower().strip() == "analyze"):
+            return execution.explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        self._timed(lambda: execution.toRdd().count())
+        lines: list[str] = []
+
+        def walk(node, depth: int) -> None:
+            kind = node.getClass().getSimpleName()
+            if kind == "AdaptiveSparkPlanExec":
+                return walk(node.executedPlan(), depth)
+            if kind.endswith("QueryStageExec"):
+                return walk(node.plan(), depth)
+            counts = [f"{m._1()}={m._2().value()}" for m in _seq(node.metrics()) if m._2().value() > 0]
+            lines.append("  " * depth + f"{node.nodeName()} {' '.join(sorted(counts))}".rstrip())
+            for child in _seq(node.children()):
+                walk(child, depth + 1)
+
+        walk(execution.executedPlan(), 0)
+        return "\n".join(lines)
 
     def export(self, sql: str, form: str = "parquet") -> str:
         """Write the whole result as parquet or ndjson to the shared folder; returns the path."""
@@ -279,6 +354,10 @@ class SqlSurface:
         if form not in ("parquet", "ndjson"):
             raise SqlRefused("an export is parquet or ndjson")
         path = fresh_path(self.spark, "export")
-        writer = self.frame(sql).write
-        self._timed(lambda: writer.parquet(path) if form == "parquet" else writer.json(path))
+
+        def run() -> None:
+            writer = self.frame(sql).write
+            writer.parquet(path) if form == "parquet" else writer.json(path)
+
+        self._timed(run)
         return path

@@ -134,6 +134,12 @@ def test_sql_answers(sql):
     assert "what is the answer really" in sql.inline("SELECT search_text FROM messages")
     assert sql.rows("SELECT message_id FROM messages", limit=1) == {"rows": [{"message_id": "m-user"}], "truncated": True} or sql.rows("SELECT message_id FROM messages", limit=1)["truncated"]
     assert "Physical Plan" in sql.explain("EXPLAIN SELECT 1")
+    assert "numOutputRows=2" in sql.explain("EXPLAIN ANALYZE SELECT role FROM messages WHERE length(role) > 1")
+    assert one("SELECT json_get_string(options, 'a', 'b', 1) AS x, json_get_int(options, 'a', 'b', 0) AS i FROM messages WHERE role = 'assistant'") == [{"x": "x", "i": 1}]
+    assert one("SELECT DISTINCT 'copied from messages' AS t, \"role\" FROM messages WHERE role <> 'user'") == [{"t": "copied from messages", "role": "assistant"}]
+    assert one("SELECT count(*) AS n FROM sessions , messages WHERE sessions.session_id = messages.session_id -- from parts") == [{"n": 2}]
+    assert one("SELECT to_char(timestamp, '%Y/%m/%dT%H h') AS t, log(100.0) AS l, log(2, 8) AS k FROM messages WHERE role = 'user'") == [{"t": "2024/01/01T00 h", "l": 2.0, "k": 3.0}]
+    assert one("SELECT fts.message_id FROM fts('messages', 'forty') WHERE 'fts(' <> ''") == [{"message_id": "m-asst"}]
     assert sql.spark.read.parquet(sql.export("SELECT role FROM messages")).count() == 2
 
 
