@@ -53,9 +53,9 @@ def canonical_role(role: str):
     return out
 
 
-def timed(messages: DataFrame, hosts: DataFrame) -> DataFrame:
-    """Every delivery that can be placed: identity, batch, role and instant."""
-    rows = identified(messages).select(*KEY, F.coalesce("batch_id", F.lit("")).alias("batch_id"), "delivered_at", "delivery_id", canonical_role("role").alias("role"), "content", "timestamp", "hostname")
+def timed(messages: DataFrame, hosts: DataFrame, content: bool = True) -> DataFrame:
+    """Every delivery that can be placed: identity, batch, role, instant and, unless nobody needs it, content."""
+    rows = identified(messages).select(*KEY, F.coalesce("batch_id", F.lit("")).alias("batch_id"), "delivered_at", "delivery_id", canonical_role("role").alias("role"), *(["content"] if content else []), "timestamp", "hostname")
     return with_instant(rows, "timestamp", hosts).drop("hostname", "timestamp")
 
 
@@ -63,7 +63,7 @@ def survivors(deliveries: DataFrame) -> DataFrame:
     """One row per message, the earliest delivery, with the fragments it was seen in (``copies``, ``first_batch``, ``last_batch``)."""
     rank = F.struct(F.col("delivered_at").isNull(), "delivered_at", F.col("delivery_id").isNull(), "delivery_id")
     return deliveries.groupBy(*KEY).agg(
-        F.min_by(F.struct("role", "utc_us", "content", "batch_id"), rank).alias("row"), F.count("*").alias("copies"), F.min("batch_id").alias("first_batch"), F.max("batch_id").alias("last_batch")
+        F.min_by(F.struct(*[c for c in ("role", "utc_us", "content", "batch_id") if c in deliveries.columns]), rank).alias("row"), F.count("*").alias("copies"), F.min("batch_id").alias("first_batch"), F.max("batch_id").alias("last_batch")
     ).select(*KEY, "row.*", "copies", "first_batch", "last_batch")
 
 
@@ -82,7 +82,7 @@ def _block() -> F.Column:
 
 
 def ranked(deliveries: DataFrame, kept: DataFrame) -> DataFrame:
-    """(session_id, batch_id, message_key, utc_us, is_shared, copies, rank, sum1, sum2) of the fragments that share messages.
+    """(session_id, batch_id, message_key, utc_us, is_shared, rank, sum1, sum2) of the fragments that share messages.
 
     A message stands where its surviving copy does; ``sum1`` and ``sum2`` add up the hashes of those before it. Ranks and
     sums are made block by block, so a fragment of any size is never ordered by one task.
@@ -90,7 +90,7 @@ def ranked(deliveries: DataFrame, kept: DataFrame) -> DataFrame:
     shared = kept.where("first_batch <> last_batch").select(*KEY)
     touched = deliveries.join(shared, KEY, "left_semi").select(*BATCH).distinct()
     rows = deliveries.join(touched, BATCH, "left_semi").select(*BATCH, "message_key").distinct()
-    placed = rows.join(kept.select(*KEY, "utc_us", (F.col("first_batch") != F.col("last_batch")).alias("is_shared"), "copies"), KEY).withColumn("block", _block())
+    placed = rows.join(kept.select(*KEY, "utc_us", (F.col("first_batch") != F.col("last_batch")).alias("is_shared")), KEY).withColumn("block", _block())
     marks = [F.pmod(F.xxhash64("message_key", F.lit(seed)), F.lit(1 << BITS)) for seed in (1, 2)]
     hashed = placed.withColumn("h1", marks[0]).withColumn("h2", marks[1])
     w = Window.partitionBy(*BATCH, "block").orderBy("utc_us", "message_key").rowsBetween(Window.unboundedPreceding, 0)
@@ -99,7 +99,7 @@ def ranked(deliveries: DataFrame, kept: DataFrame) -> DataFrame:
     before = hashed.groupBy(*BATCH, "block").agg(F.count("*").alias("m"), F.sum("h1").alias("t1"), F.sum("h2").alias("t2"))
     before = before.select(*BATCH, "block", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(c) for c in ("m", "t1", "t2")])
     j = inner.join(before, [*BATCH, "block"])
-    return j.select(*BATCH, "message_key", "utc_us", "is_shared", "copies", (F.col("m") + F.col("n") - 1).alias("rank"), (F.col("t1") + F.col("s1") - F.col("h1")).alias("sum1"), (F.col("t2") + F.col("s2") - F.col("h2")).alias("sum2"), "h1", "h2")
+    return j.select(*BATCH, "message_key", "utc_us", "is_shared", (F.col("m") + F.col("n") - 1).alias("rank"), (F.col("t1") + F.col("s1") - F.col("h1")).alias("sum1"), (F.col("t2") + F.col("s2") - F.col("h2")).alias("sum2"), "h1", "h2")
 
 
 def overlaps(rows: DataFrame) -> DataFrame:
@@ -182,16 +182,17 @@ def unanswered_calls(parts: DataFrame) -> DataFrame:
     return results.join(calls, ["session_id", "call_id"], "left_anti").select("session_id").distinct()
 
 
-def assemble(messages: DataFrame, parts: DataFrame, hosts: DataFrame) -> DataFrame:
+def assemble(messages: DataFrame, parts: DataFrame, hosts: DataFrame, content: bool = True) -> DataFrame:
     """Per message of the rebuilt conversations, broken ones included: identity, role, utc_us, contig, and what its parts show.
 
     Rows of parts without a message have NULL role and ``orphan`` true.
     """
-    deliveries = cut(timed(messages, hosts), "deliveries")
+    deliveries = cut(timed(messages, hosts, content), "deliveries")
     kept = cut(survivors(deliveries), "survivors")
-    joined = kept.join(contigs(deliveries, kept).select(*BATCH, "contig"), BATCH)
+    own = [c for c in ("role", "utc_us", "content") if c in kept.columns]
+    joined = kept.select(*KEY, *own, "batch_id").join(contigs(deliveries, kept).select(*BATCH, "contig"), BATCH)
     both = joined.withColumn("present", F.lit(True)).join(part_facts(parts), KEY, "full")
-    return both.select(*KEY, "role", "utc_us", "content", "contig", "copies", F.col("present").isNull().alias("orphan"), F.coalesce("n_parts", F.lit(0)).alias("n_parts"), F.coalesce("parts_ok", F.lit(False)).alias("parts_ok"), F.coalesce("has_text", F.lit(False)).alias("has_text"))
+    return both.select(*KEY, *own, "contig", F.col("present").isNull().alias("orphan"), F.coalesce("n_parts", F.lit(0)).alias("n_parts"), F.coalesce("parts_ok", F.lit(False)).alias("parts_ok"), F.coalesce("has_text", F.lit(False)).alias("has_text"))
 
 
 def verdicts(assembled: DataFrame, sessions: DataFrame, parts: DataFrame) -> DataFrame:
@@ -218,7 +219,7 @@ def verdicts(assembled: DataFrame, sessions: DataFrame, parts: DataFrame) -> Dat
 
 
 def dropped(messages: DataFrame, parts: DataFrame, sessions: DataFrame, hosts: DataFrame) -> DataFrame:
-    return verdicts(assemble(messages, parts, hosts), sessions, parts).where("reason is not null")
+    return verdicts(assemble(messages, parts, hosts, content=False), sessions, parts).where("reason is not null")
 
 
 def rebuilt(messages: DataFrame, parts: DataFrame, sessions: DataFrame, hosts: DataFrame) -> DataFrame:
