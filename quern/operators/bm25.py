@@ -1,9 +1,8 @@
 """Ranked full-text search (BM25) over any table of texts.
 
-The postings (document, term, tf, length) are one narrow table that can be written once and
-reused. A query keeps only the postings of its terms, so what is joined and summed is a few
-terms' worth of rows, not the corpus; document frequencies are aggregated from the same
-filtered rows. Corpus figures (number of documents, average length) are one aggregate, two numbers.
+``scores`` reads the texts themselves: one pass for the corpus figures (number of documents, average length) and one
+for the texts that hold a term. ``text_index`` keeps postings (document, term, tf, length) in a stored table instead, of which
+a query reads its terms' rows only; both rank by ``rank``. Document frequencies come from the same rows.
 k1 and b are conventional values.
 """
 
@@ -20,10 +19,18 @@ K1, B = 1.2, 0.75
 
 
 def postings(texts: DataFrame, keys: list[str], text: str, stemming: bool = False) -> DataFrame:
-    """(keys.., term, tf, length) of every non-empty text."""
+    """(keys.., term, tf, length, first) of every non-empty text; ``first`` marks one posting of each document.
+
+    Terms are counted within their text, where they are, so nothing is shuffled.
+    """
     words = stemmed(F.col(text)) if stemming else tokens(text)
     rows = texts.where(F.col(text).isNotNull()).select(*keys, words.alias("words")).where(F.size("words") > 0)
-    return rows.select(*keys, F.size("words").alias("length"), F.explode("words").alias("term")).groupBy(*keys, "length", "term").agg(F.count("*").alias("tf")).select(*keys, "term", "tf", "length")
+    # Sorted words stand in runs; a run begins where a word differs from the one before, and ends where the next begins.
+    ordered = rows.select(*keys, F.array_sort("words").alias("w"), F.size("words").alias("length"))
+    begins = F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
+    runs = ordered.withColumn("at", begins)
+    counted = F.transform("at", lambda a, i: F.struct(F.get("w", a).alias("term"), (F.coalesce(F.get("at", i + 1), F.col("length")) - a).cast("bigint").alias("tf"), (i == 0).alias("first")))
+    return runs.select(*keys, "length", F.explode(counted).alias("p")).select(*keys, "p.term", "p.tf", "length", "p.first")
 
 
 def query_terms(query: str, stemming: bool = False) -> list[str]:
@@ -45,12 +52,17 @@ def scores(texts: DataFrame, keys: list[str], text: str, query: str, stemming: b
     likely = texts if stemming or not terms else texts.where(reduce(lambda a, b: a | b, [F.lower(F.col(text)).contains(t) for t in terms]))
     able = likely.where(F.col(text).isNotNull()).select(*keys, words.alias("words")).withColumn("length", F.size("words")).where("length > 0")
     hits = able.select(*keys, "length", F.explode(tf).alias("p")).select(*keys, "length", "p.term", "p.tf").where("tf > 0")
+    return rank(hits, keys, docs, mean_length or 1.0, len(terms), operator)
+
+
+def rank(hits: DataFrame, keys: list[str], docs: int, mean_length: float, n_terms: int, operator: str = "or") -> DataFrame:
+    """(keys.., score) from the postings (keys.., term, tf, length) of a query's terms and the corpus figures."""
     frequency = hits.groupBy("term").agg(F.count("*").alias("df"))
     # One row a query term.
     idf = frequency.select("term", F.log(1 + (F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weighed = hits.join(F.broadcast(idf), "term").withColumn("w", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean_length or 1.0))))
+    weighed = hits.join(F.broadcast(idf), "term").withColumn("w", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean_length))))
     out = weighed.groupBy(*keys).agg(F.sum("w").alias("score"), F.count("*").alias("matched"))
-    return (out.where(F.col("matched") == len(terms)) if operator == "and" else out).drop("matched")
+    return (out.where(F.col("matched") == n_terms) if operator == "and" else out).drop("matched")
 
 
 def boolean(texts: DataFrame, keys: list[str], text: str, must: list[str] = (), should: list[str] = (), must_not: list[str] = ()) -> DataFrame:

@@ -13,7 +13,8 @@ from quern.functions.text import blank, id_key
 INJECTED_PREFIXES = ("<task-notification>", "<command-name>", "<command-message>", "<command-args>", "<local-command-caveat>", "<local-command-stdout>", "[Request interrupted by user")
 INJECTED_PREFIXES_ENVELOPE = ("<environment_context>", "<user_instructions>", "# AGENTS.md")
 #: A text leaf above this many bytes is replaced by a marker that keeps its size.
-TEXT_CAP = 10 * 1024 * 1024
+#: Bytes beyond which the readers of client formats put a marker in place of a text; None keeps every text whole.
+TEXT_CAP: int | None = None
 
 
 def canonical_role(role: Column | str) -> Column:
@@ -65,9 +66,35 @@ def user_provenance(text: Column | str, is_meta: Column | None = None, prefixes:
     return F.when(F.coalesce(injected, F.lit(False)), "injected").otherwise("conversational")
 
 
-def capped(text: Column | str) -> Column:
-    c = F.col(text) if isinstance(text, str) else text
-    return F.when(F.octet_length(c) > TEXT_CAP, F.concat(F.lit("[text of "), F.octet_length(c).cast("string"), F.lit(" bytes left out]"))).otherwise(c)
+def capped(text: Column | str, cap: int | None = None) -> Column:
+    """The whole text, or, where a cap in bytes is set, a marker with the size of a longer one."""
+    c, cap = F.col(text) if isinstance(text, str) else text, cap or TEXT_CAP
+    return c if cap is None else F.when(F.octet_length(c) > cap, F.concat(F.lit("[text of "), F.octet_length(c).cast("string"), F.lit(" bytes left out]"))).otherwise(c)
+
+
+def rfc3339(time: Column | str) -> Column:
+    """A timestamp as text in UTC with exactly six digits behind the second."""
+    return F.concat(F.date_format(F.to_utc_timestamp(time, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+
+
+def part_body(parts: DataFrame) -> DataFrame:
+    """Parts with ``body`` (VARIANT): of a file its media type, name and kind of data, of every other type its own fields without NULLs."""
+    field = lambda *names: F.to_json(F.struct(*names))
+    file = F.to_json(F.struct("media_type", "file_name", F.when(F.col("file_name").isNotNull(), "name").otherwise("inline").alias("data_kind")))
+    body = (
+        F.when(F.col("type") == "file", file)
+        .when(F.col("type") == "tool_call", field("tool_name", "call_id", "params"))
+        .when(F.col("type") == "tool_result", field("tool_name", "call_id", "is_failure", "result"))
+        .otherwise(field("text"))
+    )
+    return parts.withColumn("body", F.try_parse_json(body))
+
+
+def part_from_body(parts: DataFrame) -> DataFrame:
+    """The columns of ``part_body`` read back from ``body``; a body that cannot be read gives NULLs."""
+    get = lambda name, kind: F.try_variant_get("body", f"$.{name}", kind).alias(name)
+    own = [get(n, "boolean" if n == "is_failure" else "string") for n in ("text", "tool_name", "call_id", "is_failure", "params", "result", "media_type", "file_name")]
+    return parts.select("session_id", "message_id", "id", "ordinal", "type", *own)
 
 
 def part_label(parts: DataFrame) -> DataFrame:
