@@ -8,6 +8,7 @@ k1 and b are conventional values.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -67,18 +68,23 @@ def rank(hits: DataFrame, keys: list[str], docs: int, mean_length: float, n_term
 
 def boolean(texts: DataFrame, keys: list[str], text: str, must: list[str] = (), should: list[str] = (), must_not: list[str] = ()) -> DataFrame:
     """(keys.., score): all ``must`` queries, none of ``must_not``; the scores of must and should add up."""
+    return combine(lambda q: scores(texts, keys, text, q), keys, must, should, must_not)
+
+
+def combine(score: Callable[[str], DataFrame], keys: list[str], must: list[str] = (), should: list[str] = (), must_not: list[str] = ()) -> DataFrame:
+    """``boolean`` over any way to score one query, as (keys.., score)."""
     found: DataFrame | None = None
     for q in must:
-        one = scores(texts, keys, text, q)
+        one = score(q)
         found = one if found is None else found.join(one.withColumnRenamed("score", "s"), keys).select(*keys, (F.col("score") + F.col("s")).alias("score"))
     for q in should:
-        one = scores(texts, keys, text, q).withColumnRenamed("score", "s")
+        one = score(q).withColumnRenamed("score", "s")
         how = "left" if must else "full"
         found = one.withColumnRenamed("s", "score") if found is None else found.join(one, keys, how).select(*keys, (F.coalesce("score", F.lit(0.0)) + F.coalesce("s", F.lit(0.0))).alias("score"))
     if found is None:
         raise ValueError("a query needs at least one must or should clause")
     for q in must_not:
-        found = found.join(scores(texts, keys, text, q).select(*keys), keys, "left_anti")
+        found = found.join(score(q).select(*keys), keys, "left_anti")
     return found
 
 

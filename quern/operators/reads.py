@@ -53,6 +53,37 @@ def session_page(messages: DataFrame, session_id: str, anchor: str | None = None
     return {"messages": got, "before_remaining": max(first - 1, 0), "after_remaining": total - last}
 
 
+def page_of_message(messages: DataFrame, message_id: str, **options) -> dict:
+    """The page of the message's own session that begins at it. A session id in its place is told apart from an unknown id."""
+    found = messages.where(F.col("message_id") == message_id).select("session_id").distinct().orderBy("session_id").limit(2).collect()
+    if not found:
+        if not messages.where(F.col("session_id") == message_id).isEmpty():
+            raise NotFound(f"{message_id} is a session, not a message: read it as a session, or name one of its messages")
+        raise NotFound(f"no message {message_id}")
+    if len(found) > 1:
+        raise NotFound(f"{message_id} is in several sessions ({found[0][0]}, {found[1][0]}, ..): name the session too")
+    return {"session_id": found[0][0], **session_page(messages, found[0][0], message_id, "at", **options)}
+
+
+def whole_session(messages: DataFrame, parts: DataFrame, session_id: str, time: str = "timestamp") -> DataFrame:
+    """Every row of one session, a row a part (one with NULLs for a message without any), in the order of reading."""
+    m = messages.where(F.col("session_id") == session_id)
+    p = parts.where(F.col("session_id") == session_id).drop("session_id").withColumnsRenamed({"id": "part_id", "options": "part_options"})
+    return m.join(p.distinct(), "message_id", "left").orderBy(F.col(time).asc_nulls_last(), "message_id", "ordinal", "part_id")
+
+
+def pending(texts: DataFrame, key: str, model: str, stale: bool = False) -> DataFrame:
+    """Rows still to be embedded: those with text and no vector, and with ``stale`` also those of another model."""
+    missing = F.col("vector").isNull()
+    return texts.where(F.col("search_text").isNotNull() & (missing | (F.col("embedding_model") != model) if stale else missing)).select(key, "search_text")
+
+
+def embedding_state(texts: DataFrame, model: str) -> dict:
+    """Whether any vector is stored, one model that was used, and whether that differs from ``model``."""
+    one = texts.where("vector is not null").select("embedding_model").limit(1).collect()
+    return {"has_embeddings": bool(one), "model": one[0][0] if one else None, "swapped": bool(one) and one[0][0] != model}
+
+
 def message_context(messages: DataFrame, targets: DataFrame, before: int = 3, after: int = 3, time: str = "timestamp") -> DataFrame:
     """(target, message_id, offset): the conversational neighbours of each target (session_id, message_id)."""
     rows = in_order(messages.where("search_text is not null"), time).select("session_id", "message_id", "position")

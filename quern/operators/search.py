@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.operators import bm25, vectors
-from quern.operators.derive import is_subagent, session_root
+from quern.operators.derive import is_subagent, part_label, session_root, tool_identity
+from quern.operators.text_index import TextIndex
 
 MAX_LIMIT, SNIPPET, LEAST_POOL = 200, 600, 50
 
@@ -49,10 +50,14 @@ class Request:
         return size * 3 // 2 if self.exclude_subagents else size
 
 
-def retrieve(scoped: DataFrame, request: Request) -> DataFrame:
-    """(session_id, message_id, base) of the pool, from rows that already passed the filter."""
+def retrieve(scoped: DataFrame, request: Request, index: TextIndex | None = None) -> DataFrame:
+    """(session_id, message_id, base) of the pool, from rows that already passed the filter.
+
+    Words are folded and stemmed. With an ``index`` only the postings of the query's words are read; without one the texts are.
+    """
     if request.mode == "fts":
-        scored = bm25.scores(scoped, ["session_id", "message_id"], "search_text", request.query)
+        key = ["session_id", "message_id"]
+        scored = bm25.scores(scoped, key, "search_text", request.query, stemming=True) if index is None else index.scores(request.query).join(scoped.select(*key), key, "left_semi")
         pool = bm25.top(scored, ["session_id", "message_id"], request.pool())
         best = F.max("score").over(Window.partitionBy())
         return pool.withColumn("base", F.when(best > 0, F.col("score") / best).otherwise(0.0)).drop("score")
@@ -69,7 +74,7 @@ def keep_roots(pool: DataFrame, limit: int) -> DataFrame:
     return rows.join(F.broadcast(best), "root", "left_semi")
 
 
-def search(messages: DataFrame, request: Request, scope: Column | None = None, now: Column | None = None) -> DataFrame:
+def search(messages: DataFrame, request: Request, scope: Column | None = None, now: Column | None = None, index: TextIndex | None = None) -> DataFrame:
     """Ranked sessions with their hits.
 
     ``messages``: session_id, message_id, source_agent, project, timestamp, search_text[, vector].
@@ -79,9 +84,9 @@ def search(messages: DataFrame, request: Request, scope: Column | None = None, n
     now = F.current_timestamp() if now is None else now
     scoped = messages if scope is None else messages.where(scope)
     if request.exclude_subagents:
-        scoped_pool = retrieve(scoped, request).where(~F.col("session_id").contains("/"))
+        scoped_pool = retrieve(scoped, request, index).where(~F.col("session_id").contains("/"))
     else:
-        scoped_pool = retrieve(scoped, request)
+        scoped_pool = retrieve(scoped, request, index)
     kept = keep_roots(scoped_pool, request.limit)
     facts = messages.select("session_id", "message_id", "source_agent", "project", "timestamp")
     hits = facts.join(F.broadcast(kept), ["session_id", "message_id"])
@@ -102,6 +107,46 @@ def search(messages: DataFrame, request: Request, scope: Column | None = None, n
     return groups.join(sized, "root", "left").fillna(0, ["session_messages"]).orderBy(F.desc("rank"), "root").limit(request.limit)
 
 
+def with_part_summaries(hits: DataFrame, parts: DataFrame) -> DataFrame:
+    """Hits (session_id, message_id, ..) with ``summaries``: the labels of their message's tool and file parts, in order."""
+    labels = part_label(tool_identity(parts)).where("label is not null").join(F.broadcast(hits.select("session_id", "message_id").distinct()), ["session_id", "message_id"], "left_semi")
+    own = labels.groupBy("session_id", "message_id").agg(F.transform(F.sort_array(F.collect_set(F.struct("ordinal", "id", "label"))), lambda x: x["label"]).alias("summaries"))
+    return hits.join(own, ["session_id", "message_id"], "left")
+
+
+TRANSCRIPT = 10_000
+
+
+def transcript(groups: list[dict], texts: dict[tuple[str, str], str], budget: int = TRANSCRIPT) -> str:
+    """Found sessions as text within a budget of characters, shared evenly over the sessions that remain.
+
+    ``groups`` are the rows of ``search`` as dictionaries. Of each session the newest hit always shows; others
+    follow while its share lasts.
+    """
+    out: list[str] = []
+    left = budget
+    for i, g in enumerate(groups):
+        share, used = max(left, 0) // (len(groups) - i), 0
+        lines = [f"# {g['root']} ({g['project'] or 'no project'}, {g['matched']} hits, best {max(h['base'] for h in g['hits']):.3f})"]
+        for n, h in enumerate(g["hits"]):
+            line = f"[{h['message_id']}] {texts.get((h['session_id'], h['message_id']), '')}"
+            if n and used + len(line) > share:
+                lines.append(f"({len(g['hits']) - n} more)")
+                break
+            lines.append(line)
+            used += len(line)
+        left -= used
+        out.append("\n".join(lines))
+    return "\n\n".join(out)
+
+
+def arm(mode: str, enabled: bool, embedded: bool) -> str:
+    """The arm that answers: a vector search is refused where embeddings are off, and answered by words where none is stored yet."""
+    if mode == "vector" and not enabled:
+        raise SearchError("embeddings are disabled; search by words with mode fts")
+    return "fts" if mode == "vector" and not embedded else mode
+
+
 def searchable(messages: DataFrame, scope: Column | None = None) -> DataFrame:
     """One row: how many messages of the scope have searchable text."""
     rows = messages if scope is None else messages.where(scope)

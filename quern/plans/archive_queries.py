@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import fulltext, json_getters
-from quern.operators import bm25, copying, derive, hierarchy, ingest, instants, reads, search, upsert, vectors
+from quern.operators import copying, derive, hierarchy, ingest, instants, reads, upsert, vectors
 from quern.plans.sql_surface import SqlSurface
 from quern.session import cut, fresh_path, table
 from quern.store import Store
@@ -227,33 +227,6 @@ def _bm25_sql(key: str, text: str, src: str, words: str) -> str:
     return _BM25.format(key=key, text=text, src=src, terms=", ".join(f"'{w}'" for w in sorted(set(words.split()))))
 
 
-_DOC = "WITH z AS (SELECT 1)" + _bm25_sql("doc_id", "text", "documents", "threat model firewall")
-
-
-@query(_DOC + " SELECT doc_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, doc_id LIMIT 20")
-def bm25_topk(spark, sf):
-    return bm25.top(bm25.scores(table(spark, sf, "documents"), ["doc_id"], "text", "threat model firewall"), ["doc_id"], 20).select("doc_id", F.round("score", 6).alias("score"))
-
-
-@query(_DOC + " SELECT doc_id, round(score, 6) AS score FROM s WHERE matched = 3")
-def bm25_all_terms(spark, sf):
-    return bm25.scores(table(spark, sf, "documents"), ["doc_id"], "text", "threat model firewall", operator="and").select("doc_id", F.round("score", 6).alias("score"))
-
-
-@query(_DOC + " SELECT doc_id FROM s WHERE matched = 3 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE list_contains(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), 'botnet'))")
-def bm25_boolean(spark, sf):
-    d = table(spark, sf, "documents")
-    return bm25.boolean(d, ["doc_id"], "text", must=["threat", "model", "firewall"], must_not=["botnet"]).select("doc_id")
-
-
-@query(W + T + _bm25_sql("session_id, message_id", "search_text", "t", "duplicate import") + """,
-p AS (SELECT *, split_part(session_id, '/', 1) AS root FROM s ORDER BY round(score, 9) DESC, session_id, message_id LIMIT 50), x AS (SELECT max(score) AS best FROM p)
-SELECT root, count(*) AS matched, round(max(score / best), 6) AS rank FROM p, x GROUP BY root""")
-def bm25_grouped_sessions(spark, sf):
-    scored = bm25.scores(texts_of(spark, sf), ["session_id", "message_id"], "search_text", "duplicate import")
-    pool = scored.orderBy(F.desc(F.round("score", 9)), "session_id", "message_id").limit(50)
-    base = pool.withColumn("base", F.col("score") / F.max("score").over(Window.partitionBy()))
-    return base.groupBy(derive.session_root("session_id").alias("root")).agg(F.count("*").alias("matched"), F.round(F.max("base"), 6).alias("rank"))
 
 
 @query("SELECT doc_id FROM documents WHERE list_has_all(regexp_split_to_array(text, '[^\\p{L}\\p{N}]+'), ['threat', 'model', 'The'])")
@@ -261,25 +234,6 @@ def contains_all_tokens(spark, sf):
     return table(spark, sf, "documents").where(fulltext.contains_tokens("text", "threat model, The")).select("doc_id")
 
 
-@query()
-def bm25_stemmed(spark, sf):
-    return bm25.top(bm25.scores(table(spark, sf, "documents"), ["doc_id"], "text", "vulnerabilities firewalls", stemming=True), ["doc_id"], 20)
-
-
-@query()
-def search_sessions(spark, sf):
-    m = texts_of(spark, sf).withColumnRenamed("seen_at", "timestamp_at").drop("timestamp").withColumnRenamed("timestamp_at", "timestamp")
-    found = search.search(m, search.Request("duplicate import", 10), now=F.lit("2026-01-01 00:00:00").cast("timestamp"))
-    return found.select("root", "project", "source_agent", "matched", F.round("rank", 6).alias("rank"), "session_messages", F.size("hits").alias("hits"))
-
-
-@query()
-def search_snippets(spark, sf):
-    d = table(spark, sf, "documents").where("text is not null").select("doc_id", "text")
-    hits = bm25.top(bm25.scores(d, ["doc_id"], "text", "threat model"), ["doc_id"], 10).join(d, "doc_id")
-    return search.snippets(hits, "text", "threat model").select("doc_id", "snippet")
-
-
 _COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 
 
@@ -341,8 +295,8 @@ def json_arrays(spark, sf):
 # The SQL surface
 
 
-def surface(spark: SparkSession, sf: str) -> SqlSurface:
-    return SqlSurface(spark, {"messages": texts_of(spark, sf), "sessions": table(spark, sf, "sessions"), "parts": table(spark, sf, "parts")})
+def surface(spark: SparkSession, sf: str, scores: Callable | None = None) -> SqlSurface:
+    return SqlSurface(spark, scores=scores, tables={"messages": texts_of(spark, sf), "sessions": table(spark, sf, "sessions"), "parts": table(spark, sf, "parts")})
 
 
 @query("SELECT r.tool_name, count(*) AS results, count(*) FILTER (WHERE r.is_failure) AS failures, count(c.call_id) AS answered FROM parts r LEFT JOIN (SELECT DISTINCT session_id, call_id FROM parts WHERE type = 'tool_call') c ON r.session_id = c.session_id AND r.call_id = c.call_id WHERE r.type = 'tool_result' GROUP BY 1")
@@ -360,11 +314,6 @@ def sql_contains_tokens(spark, sf):
     return surface(spark, sf).frame("SELECT session_id, message_id FROM messages WHERE contains_tokens(search_text, 'duplicate import')")
 
 
-@query(W + T + _bm25_sql("session_id, message_id", "search_text", "t", "duplicate import") + " SELECT session_id, message_id, round(score, 6) AS score FROM s WHERE score > 0")
-def sql_fts(spark, sf):
-    return surface(spark, sf).frame("SELECT session_id, message_id, round(_score, 6) AS score FROM fts('messages', 'duplicate import') WHERE _score > 0")
-
-
 @query("SELECT id, params ->> '$.command' AS command, TRY_CAST(params ->> '$.n' AS BIGINT) AS n FROM parts WHERE type = 'tool_call'")
 def sql_json_getters(spark, sf):
     return surface(spark, sf).frame("SELECT id, json_get_string(params, 'command') AS command, json_get_int(params, 'n') AS n FROM parts WHERE type = 'tool_call'")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.plans import archive_queries, data_queries
+from quern.plans import data_queries, more_queries
 
-QUERIES = {**archive_queries.QUERIES, **data_queries.QUERIES}
-ORACLES = {**archive_queries.ORACLES, **data_queries.ORACLES}
+QUERIES = {**more_queries.QUERIES, **data_queries.QUERIES}
+ORACLES = {**more_queries.ORACLES, **data_queries.ORACLES}

@@ -17,7 +17,7 @@ import json
 import re
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -116,7 +116,9 @@ def _is_plan(node) -> bool:
 class SqlSurface:
     """SQL over sessions, messages and parts. ``tables`` hold the canonical columns; ids are renamed to ``session_id`` and ``message_id``."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], timeout: int = TIMEOUT):
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], timeout: int = TIMEOUT, scores: Callable[..., DataFrame] | None = None):
+        """``scores``: how one full-text query of the messages is scored (words, operator), where an index is stored."""
+        self.scores = scores or (lambda words, operator="or": bm25.scores(self.views["messages"], ["session_id", "message_id"], "search_text", words, operator=operator))
         self.timeout = max(LEAST_TIMEOUT, min(timeout, MOST_TIMEOUT))
         self.spark = spark.newSession()
         for key, value in spark.conf.getAll.items():
@@ -229,9 +231,9 @@ class SqlSurface:
             keys = ["session_id", "message_id"]
             if "boolean" in clause:
                 terms = {k: [c["match"]["terms"] for c in clause["boolean"].get(k, [])] for k in ("must", "should", "must_not")}
-                scored = bm25.boolean(df, keys, "search_text", **terms)
+                scored = bm25.combine(self.scores, keys, **terms)
             elif "match" in clause:
-                scored = bm25.scores(df, keys, "search_text", clause["match"]["terms"], operator=clause["match"].get("operator", "or").lower())
+                scored = self.scores(clause["match"]["terms"], operator=clause["match"].get("operator", "or").lower())
             else:
                 raise SqlRefused("fts takes words, a match or a boolean query; phrases are not indexed")
             name = f"fts_{uuid.uuid4().hex[:12]}"
