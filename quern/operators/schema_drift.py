@@ -10,7 +10,7 @@
    consistent one-to-one choice is made among pairs of one type whose values are of the same
    sort. Two fields that live side by side in files of the corpus are different fields and
    cannot be a rename of each other.
-4. ``unify`` casts and unions all versions into one table under the latest names.
+4. ``unify`` casts and unions all versions into one table under each stream's latest names, with one type a field.
 
 Defined results
 * A path is the dotted way to a value that is not an object; arrays are values; null counts
@@ -28,12 +28,14 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators import hierarchy
 from quern.session import cut
 
 #: Size of the value sketches (the smallest hashes of distinct values) and when a task passes its partial profiles on.
@@ -48,6 +50,107 @@ _WORDS = re.compile(r"[\s,;|]+")
 _RUN = re.compile(r"[A-Za-z]+|\d+")
 
 
+_BLANK = re.compile(r"[ \t\n\r]*")
+_NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?")
+_NAMED = {"true": True, "false": False, "null": None}
+
+
+def _deep_loads(text: str) -> object:
+    """JSON of any depth, without recursion."""
+    at, stack, keys = 0, [], []
+    skip = lambda i: _BLANK.match(text, i).end()
+
+    def key(i: int) -> int:
+        if text[i : i + 1] != '"':
+            raise ValueError("a member needs a name")
+        name, i = scanstring(text, i + 1)
+        i = skip(i)
+        if text[i : i + 1] != ":":
+            raise ValueError("a member needs a value")
+        keys.append(name)
+        return skip(i + 1)
+
+    at = skip(at)
+    while True:
+        c = text[at : at + 1]
+        if c in ("{", "["):
+            value: object = {} if c == "{" else []
+            at = skip(at + 1)
+            if text[at : at + 1] != ("}" if c == "{" else "]"):
+                stack.append(value)
+                at = key(at) if c == "{" else at
+                continue
+            at += 1
+        elif c == '"':
+            value, at = scanstring(text, at + 1)
+        elif m := _NUMBER.match(text, at):
+            value, at = (float(m[0]) if set(m[0]) & set(".eE") else int(m[0])), m.end()
+        else:
+            word = next((w for w in _NAMED if text.startswith(w, at)), None)
+            if word is None:
+                raise ValueError(f"nothing readable at {at}")
+            value, at = _NAMED[word], at + len(word)
+        while True:
+            at = skip(at)
+            if not stack:
+                if at < len(text):
+                    raise ValueError("more than one value")
+                return value
+            top = stack[-1]
+            if isinstance(top, dict):
+                top[keys.pop()] = value
+            else:
+                top.append(value)
+            c = text[at : at + 1]
+            if c == ",":
+                at = skip(at + 1)
+                at = key(at) if isinstance(top, dict) else at
+                break
+            if c != ("}" if isinstance(top, dict) else "]"):
+                raise ValueError(f"neither more nor the end at {at}")
+            at += 1
+            value = stack.pop()
+
+
+def _loads(text: str | None) -> object:
+    """The value of a JSON text; None where it is unreadable."""
+    try:
+        return json.loads(text) if text else None
+    except RecursionError:
+        try:
+            return _deep_loads(text or "")
+        except ValueError:
+            return None
+    except ValueError:
+        return None
+
+
+def _dumps(value: object) -> str:
+    """JSON text of a value of any depth, names in order."""
+    try:
+        return json.dumps(value, sort_keys=True)
+    except RecursionError:
+        out, todo = [], [value]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, _Mark):
+                out.append(x)
+            elif isinstance(x, dict | list) and x:
+                items = sorted(x.items()) if isinstance(x, dict) else [(None, v) for v in x]
+                inner: list[object] = []
+                for i, (k, v) in enumerate(items):
+                    inner += [_Mark((", " if i else "") + (f"{json.dumps(k)}: " if k is not None else "")), v]
+                ends = ("{", "}") if isinstance(x, dict) else ("[", "]")
+                todo += reversed([_Mark(ends[0]), *inner, _Mark(ends[1])])
+            else:
+                out.append(json.dumps(x))
+        return "".join(out)
+
+
+class _Mark(str):
+    """Punctuation of JSON text, as against a string in it."""
+
+
 def _leaves(value: dict, prefix: str = "") -> Iterator[tuple[str, object]]:
     stack = [(prefix, value)]
     while stack:
@@ -100,7 +203,7 @@ class _Part:
             self.bins[round(4 * math.log10(abs(value))) if value and math.isfinite(value) else -400] += 1
         elif kind == "array":
             for x in value:
-                self._keep(self.vals, _hash(x if isinstance(x, str) else json.dumps(x, sort_keys=True)))
+                self._keep(self.vals, _hash(x if isinstance(x, str) else _dumps(x)))
         else:
             self.truthy += bool(value)
 
@@ -124,10 +227,7 @@ def _profile_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         kinds, files, texts = (batch.column(i).to_pylist() for i in range(3))
         for kind, file, text in zip(kinds, files, texts, strict=True):
             parts[kind, file, None, None].n += 1
-            try:
-                record = json.loads(text) if text else None
-            except (ValueError, RecursionError):
-                continue
+            record = _loads(text)
             if isinstance(record, dict):
                 for path, value in _leaves(record):
                     t = _type(value)
@@ -231,9 +331,13 @@ def flood(before: list[dict], after: list[dict], rounds: int = 30, tolerance: fl
     """
     score: dict[tuple[str, str], float] = {}
     edges: dict[tuple, set[tuple]] = defaultdict(set)
+    kept = {a["path"] for a in before} & {b["path"] for b in after}
     for a in before:
         for b in after:
             p, q = a["path"], b["path"]
+            # A field that stays is matched with itself; only what stops and starts is open.
+            if p != q and (p in kept or q in kept):
+                continue
             score["f:" + p, "f:" + q] = (1.0 if p == q else 0.3 * _name_likeness(p, q)) + value_likeness(a, b)
             edges["f:" + p, "f:" + q].add(("t:" + a["type"], "t:" + b["type"]))
             x, y, below = p, q, ("f:" + p, "f:" + q)
@@ -334,50 +438,54 @@ def field_history(all_records: DataFrame, source_files: DataFrame) -> DataFrame:
     return known.groupBy("record_kind", "path", "type").agg(F.count("*").alias("files"), F.sum("n").alias("records"))
 
 
-def canonical_names(renames: DataFrame) -> DataFrame:
-    """(record_kind, path, canonical) from renames over all streams.
+def canonical_names(renames: DataFrame, source_files: DataFrame) -> DataFrame:
+    """(stream_id, record_kind, path, canonical): the name that a stream's field has in the end.
 
-    Names linked by any rename are one field. Its canonical name is the one most files moved
-    to (ties: by name). The links are components of a graph whose size is the vocabulary of
-    field names; smallest labels are spread along the links until none changes.
+    ``renames``: stream_id, record_kind, file_id, old_path, new_path. A stream's renames are followed from name to name (the
+    latest of a name counts) by pointer doubling; names that were swapped in a circle are all called by the smallest.
     """
-    edges = renames.select("record_kind", F.col("old_path").alias("a"), F.col("new_path").alias("b"))
-    both = cut(edges.unionByName(edges.select("record_kind", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    label = cut(both.select("record_kind", "a").distinct().withColumn("label", F.col("a")), "label")
-    while True:
-        low = both.join(label.withColumnRenamed("a", "b"), ["record_kind", "b"]).groupBy("record_kind", "a").agg(F.min("label").alias("near"))
-        new = cut(label.join(low, ["record_kind", "a"], "left").select("record_kind", "a", F.least("label", "near").alias("label")), "label")
-        if new.join(label.withColumnRenamed("label", "old"), ["record_kind", "a"]).where("label <> old").isEmpty():
-            break
-        label = new
-    arrivals = edges.groupBy("record_kind", F.col("b").alias("a")).agg(F.count("*").alias("n"))
-    scored = label.join(arrivals, ["record_kind", "a"], "left").fillna(0, ["n"])
-    best = scored.groupBy("record_kind", "label").agg(F.min_by("a", F.struct(-F.col("n"), "a")).alias("canonical"))
-    return label.join(best, ["record_kind", "label"]).select("record_kind", F.col("a").alias("path"), "canonical")
+    when = source_files.groupBy("file_id").agg(F.min("written_at").alias("written_at"))
+    name = lambda c: F.to_json(F.struct("stream_id", "record_kind", F.col(c).alias("path")))
+    latest = F.struct(F.col("written_at").isNotNull(), "written_at", "file_id", "new_path")
+    links = renames.join(when, "file_id", "left").groupBy(name("old_path").alias("id")).agg(F.max_by(name("new_path"), latest).alias("parent_id"))
+    links = cut(links, "links")
+    both = links.unionByName(links.select(F.col("parent_id").alias("id"), F.lit(None).cast("string").alias("parent_id")))
+    part = lambda c, k: F.get_json_object(c, f"$.{k}").alias(k)
+    return hierarchy.resolve(both).select(part("id", "stream_id"), part("id", "record_kind"), part("id", "path"), F.get_json_object("root", "$.path").alias("canonical"))
 
 
-_LONG = pa.schema([("record_kind", pa.string()), ("file_id", pa.int64()), ("record_id", pa.string()), ("path", pa.string()), ("value", pa.string())])
+_LONG = pa.schema([("record_kind", pa.string()), ("file_id", pa.int64()), ("record_id", pa.string()), ("path", pa.string()), ("type", pa.string()), ("value", pa.string())])
 
 
 def _explode_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns = [[] for _ in range(5)]
+        columns = [[] for _ in _LONG]
         for kind, file, record_id, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            try:
-                record = json.loads(text) if text else None
-            except (ValueError, RecursionError):
-                continue
+            record = _loads(text)
             for path, value in _leaves(record) if isinstance(record, dict) else ():
-                for column, x in zip(columns, (kind, file, record_id, path, value if isinstance(value, str) else json.dumps(value)), strict=True):
+                for column, x in zip(columns, (kind, file, record_id, path, _type(value), value if isinstance(value, str) else _dumps(value)), strict=True):
                     column.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _LONG.types, strict=True)], schema=_LONG)
 
 
-def unify(records_with_id: DataFrame, renames: DataFrame) -> DataFrame:
-    """One consistent long table (record_kind, file_id, record_id, field, value) of all versions.
+def unify(records_with_id: DataFrame, renames: DataFrame, source_files: DataFrame) -> DataFrame:
+    """One consistent table of all versions, a row a field of a record:
+    (stream_id, record_kind, file_id, record_id, field, type, text_value, number_value, boolean_value).
 
-    Values are cast to STRING (arrays and numbers as JSON text, so nothing is lost by a type
-    that changed), names are the canonical ones. Input columns: record_kind, file_id, record_id, options.
+    Fields have their stream's latest names. A field has one type in all files of its stream: its own where that never
+    changed, else string; values are cast to it and stand in the column of that type (arrays as JSON text). Records of
+    files that belong to no stream are left out. Input columns: record_kind, file_id, record_id, options.
     """
-    long = records_with_id.select("record_kind", "file_id", "record_id", "options").mapInArrow(_explode_task, "record_kind string, file_id bigint, record_id string, path string, value string")
-    return long.join(canonical_names(renames), ["record_kind", "path"], "left").select("record_kind", "file_id", "record_id", F.coalesce("canonical", "path").alias("field"), "value")
+    long = records_with_id.select("record_kind", "file_id", "record_id", "options").mapInArrow(_explode_task, "record_kind string, file_id bigint, record_id string, path string, type string, value string")
+    streams = source_files.where("file_id is not null and stream_id is not null").groupBy("file_id").agg(F.min("stream_id").alias("stream_id"))
+    rows = long.join(streams, "file_id")
+    at = ["stream_id", "record_kind", "path"]
+    named = cut(rows.join(canonical_names(renames, source_files), at, "left").withColumn("field", F.coalesce("canonical", "path")).drop("path", "canonical"), "named")
+    # One row a field: schema, not data.
+    types = named.groupBy("stream_id", "record_kind", "field").agg(F.min("type").alias("low"), F.max("type").alias("high"))
+    common = types.select("stream_id", "record_kind", "field", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise("string").alias("common"))
+    j = named.join(common, ["stream_id", "record_kind", "field"])
+    return j.select(
+        "stream_id", "record_kind", "file_id", "record_id", "field", F.col("common").alias("type"), F.when(F.col("common").isin("string", "array"), F.col("value")).alias("text_value"),
+        F.when(F.col("common") == "number", F.col("value").try_cast("double")).alias("number_value"), F.when(F.col("common") == "boolean", F.col("value").try_cast("boolean")).alias("boolean_value"),
+    )

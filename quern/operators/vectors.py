@@ -124,19 +124,23 @@ class InvertedFile:
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(key, vector).schema.fields)
         self.filed = rows.select(key, vector).mapInArrow(file, f"{kinds}, list int")
 
-    def nearest(self, query: list[float], k: int, probes: int = 8) -> DataFrame:
+    def _probes(self, probes: int | None) -> int:
+        """Thirteen of sixteen lists unless the caller says less: what keeps recall above 0.9 on vectors without any structure."""
+        return probes or -(-len(self.centroids) * 13 // 16)
+
+    def nearest(self, query: list[float], k: int, probes: int | None = None) -> DataFrame:
         q = np.array(query, np.float32)
-        lists = [int(i) for i in np.argsort(-(self.centroids @ q))[:probes]]
+        lists = [int(i) for i in np.argsort(-(self.centroids @ q))[: self._probes(probes)]]
         return nearest(self.filed.where(F.col("list").isin(lists)), self.key, self.vector, query, k)
 
 
-    def nearest_many(self, queries: DataFrame, k: int, probes: int = 8, block: int = 1024) -> DataFrame:
+    def nearest_many(self, queries: DataFrame, k: int, probes: int | None = None, block: int = 1024) -> DataFrame:
         """(query, key, distance, rank) for a stated query set: each list is compared only with the queries that probe it."""
         kind = self.filed.schema[self.key].dataType.simpleString()
         parts = []
         for names, q in _query_blocks(queries, self.vector, block):
             wanted = np.zeros((len(names), len(self.centroids)), bool)
-            np.put_along_axis(wanted, np.argsort(-(q @ self.centroids.T), axis=1)[:, :probes], True, axis=1)
+            np.put_along_axis(wanted, np.argsort(-(q @ self.centroids.T), axis=1)[:, : self._probes(probes)], True, axis=1)
             one = self.filed.mapInArrow(self._probe((names, q, wanted), k), f"query {kind}, key {kind}, distance double")
             parts.append(one if len(names) < block else cut(one, "near"))
         return _gather(parts, self.filed, self.key, k)

@@ -41,8 +41,8 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 def p3_unified(spark: SparkSession, sf: str) -> DataFrame:
     m, s = table(spark, sf, "messages"), table(spark, sf, "sessions")
     rows = m.select(F.lit("message").alias("record_kind"), "file_id", F.col("delivery_id").cast("string").alias("record_id"), "options").unionByName(s.select(F.lit("session").alias("record_kind"), "file_id", F.col("id").alias("record_id"), "options"))
-    renames = cut(p3_found(spark, sf).where("change_kind = 'renamed'").select("record_kind", "old_path", "new_path"), "renames")
-    return schema_drift.unify(rows, renames)
+    renames = cut(p3_found(spark, sf).where("change_kind = 'renamed'").drop("change_kind"), "renames")
+    return schema_drift.unify(rows, renames, table(spark, sf, "source_files"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -51,14 +51,35 @@ def test_null_empty_and_unreadable(spark):
     assert found(spark, files) == {(2, "session", "added", "", "a"), (3, "session", "removed", "a", "")}
 
 
-def test_unified_table_uses_one_name(spark):
-    files = [(1, "s", [j(model="tern-2")]), (2, "s", [j(client={"model": "orchid"})]), (3, "s", [j(client={"model": "tern-2"})])]
+def test_unified_table_has_one_name_and_one_type_a_field(spark):
+    files = [
+        (1, "s", [j(model="tern-2", n=4, on=True)]), (2, "s", [j(client={"model": "orchid"}, n="4", on=False)]), (3, "s", [j(client={"kind": "tern-2"}, n=5.5, tags=["a", 1])]),
+        (7, "other", [j(model="wren", n=1)]), (8, None, [j(model="lost")]),
+    ]
     records, sf = tables(spark, files)
-    renames = drift.changes(records.where("file_id < 3").unionByName(records.where("file_id = 3")), sf).where("change_kind = 'renamed'")
-    assert renames.count() <= 1
-    forced = spark.createDataFrame([("session", "model", "client.model")], "record_kind string, old_path string, new_path string")
+    renames = spark.createDataFrame([("s", "session", 2, "model", "client.model"), ("s", "session", 3, "client.model", "client.kind")], "stream_id string, record_kind string, file_id bigint, old_path string, new_path string")
     rows = records.selectExpr("record_kind", "file_id", "cast(file_id as string) as record_id", "options")
-    assert {(r.file_id, r.field, r.value) for r in drift.unify(rows, forced).collect()} == {(1, "client.model", "tern-2"), (2, "client.model", "orchid"), (3, "client.model", "tern-2")}
+    got = {(r.stream_id, r.file_id, r.field): (r.type, r.text_value, r.number_value, r.boolean_value) for r in drift.unify(rows, renames, sf).collect()}
+    assert got == {
+        ("s", 1, "client.kind"): ("string", "tern-2", None, None), ("s", 2, "client.kind"): ("string", "orchid", None, None), ("s", 3, "client.kind"): ("string", "tern-2", None, None),
+        ("s", 1, "n"): ("string", "4", None, None), ("s", 2, "n"): ("string", "4", None, None), ("s", 3, "n"): ("string", "5.5", None, None),
+        ("s", 1, "on"): ("boolean", None, None, True), ("s", 2, "on"): ("boolean", None, None, False), ("s", 3, "tags"): ("array", '["a", 1]', None, None),
+        ("other", 7, "model"): ("string", "wren", None, None), ("other", 7, "n"): ("number", None, 1.0, None),
+    }
+
+
+def test_records_of_any_depth():
+    for depth, text in ((3, '{"a": {"b": {"c": [1, {"d": "x"}], "e": "y"}}}'), (200_000, '{"a":' * 200_000 + "[" * 200_000 + "]" * 200_000 + "}" * 200_000)):
+        if depth == 3:
+            assert drift._deep_loads(text) == json.loads(text)
+        record = drift._loads(text)
+        assert isinstance(record, dict)
+        inner = record
+        while isinstance(inner, dict) and "a" in inner:
+            inner = inner["a"]
+        assert json.loads(drift._dumps(inner)) == inner if depth == 3 else drift._dumps(inner) == "[" * 200_000 + "]" * 200_000
+    for broken in ("", "[1,", '{"a" 1}', '{"a":1} 2', "nope", "[" * 200_000):
+        assert drift._loads(broken) is None
 
 
 def test_flooding_prefers_structure():
