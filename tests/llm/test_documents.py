@@ -131,6 +131,31 @@ def test_empty_corpus(spark):
     assert drawn.count() == 0 and mixing.report(drawn, members, targets).first().actual_share == 0.0
 
 
+def test_draws_follow_the_rate_of_each_document(spark):
+    """Documents of one likeliest source whose posteriors, and so rates, differ are not drawn alike."""
+    rows = [(i, "a", 10, 0, None) for i in range(1000)] + [(1000 + i, "b", 10, 1, None) for i in range(100)] + [(2000 + i, None, 10, 0, [0.6, 0.4, 0.0]) for i in range(1000)]
+    members = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint, domain int, posterior array<double>")
+    targets = spark.createDataFrame([("m", "a", 0.5, 1), ("m", "b", 0.5, 1)], "mix_name string, source string, target_share double, max_repeats int")
+    drawn = mixing.draw(members, targets, 4000.0)
+    for r in mixing.report(drawn, members, targets).collect():
+        assert r.actual_share == pytest.approx(0.5, abs=0.02) and r.drawn_tokens == pytest.approx(2000, abs=100)
+    assert drawn.where("copies > 1").count() == 0
+
+
+def test_texts_that_tell_nothing_leave_the_prior(spark):
+    """Words that no source has to itself are no evidence; a source without documents gets no part of those of missing source."""
+    r = random.Random(11)
+    vocabulary = [a + b for a in ("ab", "cor", "del", "fen", "gul") for b in ("an", "el", "im", "os", "ur", "ax")]
+    rows = [(i, ("a" if i % 4 else "b") if i < 400 else None, " ".join(r.choice(vocabulary) for _ in range(80)) + ".") for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    targets = spark.createDataFrame([("m", "a", 0.5, 2), ("m", "b", 0.3, 2), ("m", "gone", 0.2, 2)], "mix_name string, source string, target_share double, max_repeats int")
+    members = mixing.membership(d, targets)
+    guessed = [row.posterior for row in members.where("source is null").collect()]
+    assert len(guessed) == 200 and all(p[0] == pytest.approx(0.75, abs=0.1) and p[2] == p[3] == 0 for p in guessed)
+    report = {row.source: row for row in mixing.report(mixing.draw(members, targets), members, targets).collect()}
+    assert report["gone"].limited_by == "absent" and report["a"].reachable_share == pytest.approx(0.625)
+
+
 # subjects
 
 
